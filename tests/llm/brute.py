@@ -85,3 +85,22 @@ def jaccard(docs):
                 a, b = sorted((find(d), find(sets[j][0])))
                 top[b] = a
     return sorted((d, len(s), find(d)) for d, s in sets)
+
+
+def rules(docs):
+    out = []
+    for d, t in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for x in t.split("\n"):
+            if WORD.search(x):
+                dup += x in seen
+                seen.add(x)
+        at = defaultdict(list)
+        for i in range(len(w) - 2):
+            at[tuple(w[i : i + 3])].append(i)
+        covered = {i + k for p in at.values() if len(p) > 1 for i in p for k in range(3)}
+        n, r = len(w), len(covered)
+        out.append((d, n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, r, n < 50 or 100 * r > 50 * n))
+    return sorted(out)

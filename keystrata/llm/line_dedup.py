@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keystrata.session import checkpoint_dir
 
@@ -144,10 +145,17 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: int, keep_at: int) -> Itera
 
 
 def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """All rows with n_lines, n_dropped and kept_text; a row that loses nothing keeps its text."""
-    maps = line_dedup(docs, id_col, text_col, least_chars)
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text")).join(maps, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "text", "keep")
-    return both.mapInArrow(lambda it: _cut(it, 2, 3), "doc_id long, n_dropped long, n_lines long, kept_text string")
+    """All rows, and all columns but the text, with n_dropped, n_lines and kept_text.
+
+    A row that loses nothing keeps its text, null included.
+    """
+    maps = line_dedup(docs, id_col, text_col, least_chars).withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "n_dropped": "_n", "keep": "_keep"})
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_dropped", "n_lines", "kept_text")]
+    on = (F.col(id_col).cast("long") == F.col("_id")) & (F.hash(text_col) == F.col("_tag"))
+    both = docs.join(maps, on, "left").select(*rest, F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"), text_col, "_keep")
+    at = len(both.columns) - 2
+    schema = T.StructType([*both.schema.fields[:at], T.StructField("n_lines", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return both.mapInArrow(lambda it: _cut(it, at, at + 1), schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,15 @@ def rules(docs):
         n, r = len(w), len(covered)
         out.append((d, n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, r, n < 50 or 100 * r > 50 * n))
     return sorted(out)
+
+
+def bpe(docs):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [(d, enc.encode_ordinary(t or ""), t or "") for d, t in docs]
+    return sorted((d, len(x), sha(",".join(map(str, x))), sha(t)) for d, x, t in ids)

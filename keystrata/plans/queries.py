@@ -1,4 +1,425 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from keystrata.config import BLOCK_BYTES, COVER_PERCENT, INDEX_CAP
+from keystrata.functions import bloom, generators, routing
+from keystrata.operators import merge, metrics
+from keystrata.streaming import ingest
+
+SEGMENT_ROWS = 1000  # events of one synthetic segment
+FEED_CAP = 40_000  # bytes; stands for the feed size of full segments
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _key(c: str) -> Column:
+    return F.col(c).cast("string")
+
+
+def _seg(c: str) -> Column:
+    return F.floor(F.col(c) / SEGMENT_ROWS).cast("bigint")
+
+
+def _le(first: int, last: int, h: str = "h") -> str:
+    return "CAST(('0x' || " + " || ".join(f"substr({h}, {2 * i + 1}, 2)" for i in range(last, first - 1, -1)) + ") AS UBIGINT)"
+
+
+LATEST_EVENTS = "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
+PROBES = "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 3 = 0"
+ORDER_HASH = "SELECT o_orderkey, sha1(CAST(o_orderkey AS VARCHAR)) AS h FROM orders"
+BARREL = f"CAST(({_le(8, 11)}::HUGEINT * 64 + {_le(4, 7)}::HUGEINT) % 8191 AS BIGINT)"
+PATH = f"CAST({_le(0, 1)} % 4096 AS BIGINT)"
+EVENT_LOG = f"""SELECT event_id // 1000 AS seg, event_id, user_id, value,
+  octet_length(encode(CAST(user_id AS VARCHAR))) + octet_length(encode(CAST(event_id AS VARCHAR))) + 2 AS volume FROM events"""
+
+
+def latest_events(spark, d):
+    e = _read(spark, d, "events").select("user_id", "event_id", "value")
+    return merge.latest(e, ["user_id"], "event_id").select("user_id", "event_id", "value")
+
+
+def _probes(spark, d):
+    return _read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+
+
+def multi_get(spark, d):
+    return merge.multi_get(_probes(spark, d), latest_events(spark, d), "user_id").select("user_id", "found", "event_id", "value")
+
+
+def multi_get_hits(spark, d):
+    return merge.hits(_probes(spark, d), latest_events(spark, d), "user_id")
+
+
+def multi_get_misses(spark, d):
+    return merge.misses(_probes(spark, d), latest_events(spark, d), "user_id")
+
+
+def _orders(spark, d):
+    return _read(spark, d, "orders").select("o_orderkey", routing.digest(_key("o_orderkey")).alias("h"))
+
+
+def route(spark, d):
+    h = F.col("h")
+    return _orders(spark, d).select("o_orderkey", routing.leaf_path(h).alias("path"), *[routing.slot(h, i).alias(f"slot{i}") for i in range(4)], routing.barrel(h).alias("barrel"))
+
+
+def chain_and_order(spark, d):
+    h = F.col("h")
+    return _orders(spark, d).select("o_orderkey", routing.chain(h).alias("chain"), routing.move_order(h, routing.barrel(h)).alias("move_order"))
+
+
+def row_volume(spark, d):
+    return _read(spark, d, "documents").select("doc_id", routing.volume(_key("doc_id"), F.col("text")).alias("volume"))
+
+
+def oversize_rows(spark, d):
+    return row_volume(spark, d).where(F.col("volume") > BLOCK_BYTES)
+
+
+def _event_log(spark, d):
+    e = _read(spark, d, "events").select("event_id", "user_id", "value")
+    return e.select(_seg("event_id").alias("seg"), "event_id", "user_id", "value", routing.volume(_key("user_id"), _key("event_id")).alias("volume"))
+
+
+def segment_fill(spark, d):
+    return _event_log(spark, d).groupBy("seg").agg(F.count("*").alias("items"), F.sum("volume").alias("volume"))
+
+
+def _placed(spark, d):
+    """Segments dealt to eight nodes, oldest first."""
+    o = _read(spark, d, "orders")
+    return o.select(F.pmod("o_custkey", F.lit(8)).cast("int").alias("node"), F.floor(F.col("o_orderkey") / 500).cast("bigint").alias("pos"), routing.volume(_key("o_orderkey"), F.col("o_orderpriority")).alias("v")).groupBy("node", "pos").agg(F.sum("v").alias("volume"))
+
+
+PLACED = """SELECT CAST(o_custkey % 8 AS INTEGER) AS node, o_orderkey // 500 AS pos,
+  CAST(sum(octet_length(encode(CAST(o_orderkey AS VARCHAR))) + octet_length(encode(o_orderpriority)) + 2) AS BIGINT) AS volume FROM orders GROUP BY 1, 2"""
+FEED = f"""SELECT node, CAST(coalesce(min(CASE WHEN run >= {FEED_CAP // 10} THEN nth END), 0) AS BIGINT) AS nr_feed FROM (
+  SELECT node, sum(volume) OVER w AS run, row_number() OVER w AS nth FROM ({PLACED}) WINDOW w AS (PARTITION BY node ORDER BY pos)) GROUP BY node"""
+
+
+def feed_prefix(spark, d):
+    return merge.feed_prefix(_placed(spark, d), ["node"], "pos", "volume", FEED_CAP // 10)
+
+
+def pick_fullest_child(spark, d):
+    return feed_prefix(spark, d).orderBy(F.desc("nr_feed"), "node").limit(1)
+
+
+def full_children(spark, d):
+    return _placed(spark, d).groupBy("node").agg(F.count("*").alias("segments")).where("segments >= 20")
+
+
+def _slot_of_user():
+    return routing.slot(routing.digest(_key("user_id")), 0)
+
+
+def compaction_output(spark, d):
+    old = _event_log(spark, d).where("seg < 4").select("user_id", "event_id", "value")
+    return merge.compact(old, ["user_id"], "event_id", _slot_of_user()).select("user_id", "event_id", "value", "slot")
+
+
+def compaction_invariant(spark, d):
+    rest = _event_log(spark, d).where("seg >= 4").select("user_id", "event_id", "value")
+    return merge.latest(rest.unionByName(compaction_output(spark, d).drop("slot")), ["user_id"], "event_id").select("user_id", "event_id", "value")
+
+
+def version_amplification(spark, d):
+    rows = _event_log(spark, d).groupBy("seg", "user_id").agg(F.count("*").alias("n"))
+    return rows.groupBy("seg").agg(F.sum("n").alias("stored"), F.count("*").alias("keys")).withColumn("amplification", metrics.ratio(F.col("stored"), F.col("keys")))
+
+
+def _bloom_keys(spark, d, barrels: int = 64):
+    h = F.col("h")
+    return _orders(spark, d).select(F.col("o_orderkey").alias("id"), (routing.barrel(h) % barrels).alias("barrel"), routing.bloom_hash(h).alias("hv"))
+
+
+def bloom_positions(spark, d):
+    k = _bloom_keys(spark, d).where("id % 10 = 0")
+    return k.select(F.col("id").alias("o_orderkey"), F.posexplode(bloom.positions(F.col("hv"), F.lit(1021).cast("bigint"))).alias("j", "pos"))
+
+
+BLOOM_KEYS = f"SELECT o_orderkey AS id, {BARREL} % 64 AS barrel, {_le(12, 19)}::HUGEINT AS hv FROM ({ORDER_HASH})"
+POS = "CAST(((hv + j * ((hv % 2147483648) * 8589934592 + hv // 2147483648)) % 18446744073709551616) % bits AS BIGINT)"
+FILTERS = f"""SELECT DISTINCT barrel, bits, {POS} AS pos FROM
+  (SELECT k.barrel, hv, bits FROM ({BLOOM_KEYS}) k JOIN (SELECT barrel, CAST(greatest(8, 2 * count(*)) * 8 - 3 AS BIGINT) AS bits FROM ({BLOOM_KEYS}) WHERE id % 2 = 0 GROUP BY barrel) b ON k.barrel = b.barrel WHERE id % 2 = 0), range(0, 11) r(j)"""
+
+
+def _filters(spark, d):
+    return bloom.build(_bloom_keys(spark, d).where("id % 2 = 0").select("barrel", "hv"))
+
+
+def bloom_filter_bits(spark, d):
+    return _filters(spark, d).groupBy("barrel").agg(F.max("bits").alias("bits"), F.count("*").alias("set_bits"))
+
+
+def bloom_probe(spark, d):
+    keys = _bloom_keys(spark, d)
+    got = bloom.probe(keys, _filters(spark, d))
+    return got.groupBy((F.col("id") % 2 == 0).alias("present")).agg(F.count("*").alias("probes"), F.sum(F.col("match").cast("bigint")).alias("matches"))
+
+
+def segment_bitmap(spark, d):
+    held = _event_log(spark, d).where("seg < 62").select("user_id", "seg").distinct()
+    return held.groupBy("user_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("seg").cast("int"))).alias("bitmap"))
+
+
+def barrel_histogram(spark, d):
+    per = _orders(spark, d).groupBy(routing.barrel(F.col("h")).alias("barrel")).agg(F.count("*").alias("items"))
+    return per.groupBy("items").agg(F.count("*").alias("barrels"))
+
+
+def segment_report(spark, d):
+    return _event_log(spark, d).groupBy("seg").agg(F.sum("volume").alias("volume"), F.count("*").alias("items"), F.countDistinct("user_id").alias("keys")).withColumn("percent", metrics.ratio(F.col("volume"), F.lit(32 * 1024 * 1024), 100.0))
+
+
+def trie_rollup(spark, d):
+    h = F.col("h")
+    rows = _orders(spark, d).select(*[routing.slot(h, i).alias(f"slot{i}") for i in range(3)])
+    return rows.rollup("slot0", "slot1", "slot2").agg(F.count("*").alias("items"))
+
+
+def hit_level(spark, d):
+    o = _read(spark, d, "orders").select("o_custkey", "o_orderkey")
+    newest = merge.latest(o, ["o_custkey"], "o_orderkey")
+    return newest.groupBy((_seg("o_orderkey") % 5).alias("level")).agg(F.count("*").alias("hits"))
+
+
+def amplification(spark, d):
+    c = _event_log(spark, d).groupBy((F.col("seg") % 3).alias("level")).agg(F.count("*").alias("written"), F.countDistinct("user_id").alias("kept"), F.sum((F.col("value") > 1e9).cast("bigint")).alias("missed"))
+    return c.select("level", "written", "kept", metrics.ratio(F.col("written"), F.col("kept")).alias("write_amp"), metrics.ratio(F.col("written"), F.col("missed"), 100.0).alias("miss_ratio"))
+
+
+def _usec(spark, d):
+    return _read(spark, d, "events").select(F.floor("value").cast("bigint").alias("usec"))
+
+
+def latency_histogram(spark, d):
+    h = metrics.latency_histogram(_usec(spark, d))
+    return h.withColumn("t", F.sum("count").over(Window.partitionBy())).where("count > shiftright(t, 10)").select("bucket", "count")
+
+
+def latency_percentiles(spark, d):
+    return metrics.latency_percentiles(_usec(spark, d), [950, 990, 999])
+
+
+def qps_report(spark, d):
+    return metrics.throughput(_read(spark, d, "events").select("event_id", "ts"), "event_id", "ts", SEGMENT_ROWS).select("batch", "ops", "delta_usec", "qps")
+
+
+def fnv_scramble(spark, d):
+    k = _read(spark, d, "orders").where("o_orderkey % 5 = 0")
+    return k.select("o_orderkey", (generators.fnv1a(F.col("o_orderkey")) % F.lit(2000).cast("decimal(20,0)")).cast("bigint").alias("scrambled"))
+
+
+U_ID = "CAST(CAST('0x' || substr(sha1(CAST(event_id AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0"
+
+
+def zipf_draws(spark, d):
+    u = generators.uniform_of(F.col("event_id"))
+    return _read(spark, d, "events").select("event_id", generators.zipfian(u, 20, 2000).alias("draw"))
+
+
+def _zipf_sql() -> str:
+    n, zn, eta, alpha = generators.zipf_constants(20, 2000)
+    return f"""SELECT event_id, CAST(CASE WHEN u * {zn!r}::DOUBLE < 1.0 THEN 20 WHEN u * {zn!r}::DOUBLE < {1.0 + 0.5**0.99!r}::DOUBLE THEN 21
+      ELSE 20 + floor({float(n)!r}::DOUBLE * pow({eta!r}::DOUBLE * (u - 1.0) + 1.0, {alpha!r}::DOUBLE)) END AS BIGINT) AS draw FROM (SELECT event_id, {U_ID} AS u FROM events)"""
+
+
+def generator_draws(spark, d):
+    u = generators.uniform_of(F.col("event_id"))
+    return _read(spark, d, "events").select("event_id", generators.constant(1984).alias("c"), generators.uniform(u, 20, 2000).alias("uni"), generators.exponential(u, 95.0, 100.0).alias("expo"))
+
+
+def distribution_report(spark, d):
+    return metrics.distribution(_usec(spark, d), "usec")
+
+
+def heavy_hitters(spark, d):
+    return metrics.heavy_hitters(zipf_draws(spark, d), "draw")
+
+
+def unit_map(spark, d):
+    units = _read(spark, d, "orders").select(F.col("o_orderkey").alias("unit_id"), (F.col("o_orderstatus") == "F").alias("used"))
+    return metrics.unit_map(units)
+
+
+def manifest_tree(spark, d):
+    """The tree in preorder: every line with the key that orders it."""
+    path = F.concat_ws("", *[(F.floor(F.col("seg") / 8**i) % 8).cast("bigint").cast("string") for i in range(4)])
+    segs = _event_log(spark, d).select("seg").distinct().select("seg", (F.col("seg") % 4).cast("int").alias("level"), path.alias("p")).select("seg", F.substring("p", F.lit(1), F.col("level")).alias("path"))
+    nodes = segs.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring("path", F.lit(1), i))).alias("path")).distinct()
+    n3 = F.concat(F.lit("[ "), (F.length("path") * 3).cast("string"))
+    parts = [("0", n3), ("1", F.lit("<")), ("3", F.lit(">"))]
+    lines = [nodes.select(F.concat("path", F.lit(f" {k}")).alias("at"), line.alias("line")) for k, line in parts]
+    close = nodes.select(F.concat("path", F.lit("~")).alias("at"), F.lit("]").alias("line"))
+    ids = F.lpad(F.lower(F.hex(F.col("seg") + 1)), 16, "0")
+    items = segs.select(F.concat("path", F.lit(" 2"), ids).alias("at"), ids.alias("line"))
+    out = items.union(close)
+    for x in lines:
+        out = out.union(x)
+    return out
+
+
+MANIFEST = """WITH segs AS (SELECT seg, substr(CAST(seg % 8 AS VARCHAR) || CAST(seg // 8 % 8 AS VARCHAR) || CAST(seg // 64 % 8 AS VARCHAR) || CAST(seg // 512 % 8 AS VARCHAR), 1, CAST(seg % 4 AS INTEGER)) AS path
+    FROM (SELECT DISTINCT event_id // 1000 AS seg FROM events)),
+  nodes AS (SELECT DISTINCT substr(path, 1, CAST(i AS INTEGER)) AS path FROM segs, range(0, 5) r(i) WHERE i <= length(path))
+SELECT path || ' 0' AS at, '[ ' || CAST(length(path) * 3 AS VARCHAR) AS line FROM nodes UNION ALL
+SELECT path || ' 1', '<' FROM nodes UNION ALL SELECT path || ' 3', '>' FROM nodes UNION ALL SELECT path || '~', ']' FROM nodes UNION ALL
+SELECT path || ' 2' || lpad(lower(hex(seg + 1)), 16, '0'), lpad(lower(hex(seg + 1)), 16, '0') FROM segs"""
+
+
+def _moves(spark, d, cap: int = 64):
+    """Rows of overloaded barrels in move order, with the volume that stands before each."""
+    o = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", routing.digest(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("h"))
+    b = o.select("h", (routing.barrel(F.col("h")) % 512).alias("barrel"), routing.move_order(F.col("h"), routing.barrel(F.col("h"))).alias("mo"), F.lit(24).cast("bigint").alias("volume"))
+    w = Window.partitionBy("barrel").orderBy("mo", "h").rowsBetween(Window.unboundedPreceding, 0)
+    return b.withColumn("upto", F.sum("volume").over(w)).withColumn("total", F.sum("volume").over(Window.partitionBy("barrel"))).withColumn("cap", F.lit(cap * 24))
+
+
+def overflow_moves(spark, d):
+    """Per overloaded barrel: the rows that leave it, least in move order first."""
+    m = _moves(spark, d).where("total > cap AND upto - volume < total - cap")
+    return m.groupBy("barrel").agg(F.count("*").alias("nr_out"), F.max("mo").alias("least_kept_above"))
+
+
+LINE_ROWS = f"""SELECT barrel, mo, 24 AS volume, h FROM (SELECT h, b % 512 AS barrel, CASE WHEN s = 0 THEN w ELSE ((w << s) & 4294967295) | (w >> (32 - s)) END AS mo FROM
+  (SELECT h, {BARREL} AS b, CAST({BARREL} % 32 AS INTEGER) AS s, CAST({_le(12, 15)} AS BIGINT) AS w FROM
+  (SELECT sha1(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR)) AS h FROM lineitem)))"""
+MOVES = f"""SELECT barrel, count(*) AS nr_out, max(mo) AS least_kept_above FROM (
+  SELECT barrel, mo, volume, sum(volume) OVER (PARTITION BY barrel ORDER BY mo, h ROWS UNBOUNDED PRECEDING) AS upto, sum(volume) OVER (PARTITION BY barrel) AS total FROM ({LINE_ROWS}))
+  WHERE total > 1536 AND upto - volume < total - 1536 GROUP BY barrel"""
+
+
+def overflow_index(spark, d):
+    """Barrels by overflow, most first, until they cover the share of lookups that must be covered."""
+    rows = _moves(spark, d).groupBy("barrel").agg(F.count("*").alias("items"))
+    out = overflow_moves(spark, d)
+    order = Window.orderBy(F.desc("nr_out"), "barrel").rowsBetween(Window.unboundedPreceding, 0)
+    lookups = rows.agg(F.sum("items").alias("lookups"))
+    all_out = out.agg(F.sum("nr_out").alias("all_out"))
+    ranked = out.select("barrel", "nr_out", F.sum("nr_out").over(order).alias("run"), F.row_number().over(Window.orderBy(F.desc("nr_out"), "barrel")).alias("rk"))  # at most 8,191 barrels
+    joined = ranked.crossJoin(F.broadcast(lookups)).crossJoin(F.broadcast(all_out))  # one row each
+    todo = F.greatest(F.lit(0), F.expr(f"(lookups + all_out) * {COVER_PERCENT} div 100 - lookups"))
+    return joined.where(((F.col("run") - F.col("nr_out") < todo) | (F.col("rk") == 1)) & (F.col("rk") <= INDEX_CAP)).select("barrel", "nr_out")
+
+
+INDEX = f"""SELECT barrel, nr_out FROM (SELECT barrel, nr_out, sum(nr_out) OVER (ORDER BY nr_out DESC, barrel ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (ORDER BY nr_out DESC, barrel) AS rk FROM ({MOVES})) m,
+  (SELECT count(*) AS lookups FROM lineitem) a, (SELECT sum(nr_out) AS all_out FROM ({MOVES})) b
+  WHERE (run - nr_out < greatest(0, (lookups + all_out) * {COVER_PERCENT} // 100 - lookups) OR rk = 1) AND rk <= {INDEX_CAP}"""
+
+
+def mixed_batches(spark, d):
+    """Of every 100 operations the first 60 write and the others read a key written before or not."""
+    e = _read(spark, d, "events").select("event_id", "user_id")
+    op = F.col("event_id") % 100
+    first = e.where(op < 60).groupBy("user_id").agg(F.min("event_id").alias("first_write"))
+    both = e.join(first, "user_id", "left").withColumn("write", op < 60)
+    hit = ~F.col("write") & (F.col("first_write") < F.col("event_id"))
+    return both.groupBy(_seg("event_id").alias("batch")).agg(F.sum(F.col("write").cast("bigint")).alias("writes"), F.sum((~F.col("write")).cast("bigint")).alias("reads"), F.sum(F.coalesce(hit, F.lit(False)).cast("bigint")).alias("hits"))
+
+
+def staged_read(spark, d):
+    """Four probe phases against a store of order keys: warm and uniform misses, hits, zipfian keys."""
+    keys = _read(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    u = generators.uniform_of(F.col("event_id"))
+    e = _read(spark, d, "events")
+    n = 1_000_000_000
+    phases = [("WARM", generators.uniform(u, n, 2 * n)), ("EUNI", generators.uniform(u, 1, 1500)), ("NUNI", generators.uniform(1.0 - u, n, 2 * n)), ("NZIP", generators.zipfian(u, 20, 2000))]
+    probes = e.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), x.alias("k")) for p, x in phases])).alias("x")).select("x.*")
+    return merge.multi_get(probes, keys.select("k"), "k").groupBy("phase").agg(F.count("*").alias("probes"), F.sum(F.col("found").cast("bigint")).alias("hits"))
+
+
+def _staged_sql() -> str:
+    z = _zipf_sql()
+    return f"""WITH u AS (SELECT event_id, {U_ID} AS u FROM events),
+  p AS (SELECT 'WARM' AS phase, CAST(1000000000 + floor(u * 1000000000) AS BIGINT) AS k FROM u UNION ALL SELECT 'EUNI', CAST(1 + floor(u * 1499) AS BIGINT) FROM u
+    UNION ALL SELECT 'NUNI', CAST(1000000000 + floor((1.0 - u) * 1000000000) AS BIGINT) FROM u UNION ALL SELECT 'NZIP', draw FROM ({z}))
+SELECT phase, count(*) AS probes, CAST(sum(CASE WHEN o_orderkey IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM p LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders) o ON k = o_orderkey GROUP BY phase"""
+
+
+def upsert_lineitem(spark, d):
+    li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_partkey", "l_suppkey")
+    return merge.latest(li, ["l_orderkey", "l_linenumber"], F.struct("l_shipdate", "l_partkey", "l_suppkey")).select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+
+
+def stream_latest(spark, d):
+    return ingest.latest_once(spark, f"{d}/events.parquet", ["user_id"], "event_id", ["user_id", "event_id", "value"])
+
+
+def point_lookup(spark, d):
+    """One key, with the filter pushed below the aggregate."""
+    return latest_events(spark, d).where("user_id = 7")
+
+
+QUERIES = {
+    "q01_latest_events": latest_events, "q02_multi_get": multi_get, "q03_multi_get_hits": multi_get_hits, "q04_multi_get_misses": multi_get_misses,
+    "q05_route": route, "q06_chain_and_order": chain_and_order, "q07_row_volume": row_volume, "q08_oversize_rows": oversize_rows, "q09_segment_fill": segment_fill,
+    "q10_feed_prefix": feed_prefix, "q11_pick_fullest_child": pick_fullest_child, "q12_full_children": full_children, "q13_compaction_output": compaction_output,
+    "q14_compaction_invariant": compaction_invariant, "q15_version_amplification": version_amplification, "q16_bloom_positions": bloom_positions,
+    "q17_bloom_filter_bits": bloom_filter_bits, "q18_bloom_probe": bloom_probe, "q19_segment_bitmap": segment_bitmap, "q20_barrel_histogram": barrel_histogram,
+    "q21_segment_report": segment_report, "q22_trie_rollup": trie_rollup, "q23_hit_level": hit_level, "q24_amplification": amplification,
+    "q25_latency_histogram": latency_histogram, "q26_latency_percentiles": latency_percentiles, "q27_qps_report": qps_report, "q28_fnv_scramble": fnv_scramble,
+    "q29_zipf_draws": zipf_draws, "q30_distribution_report": distribution_report, "q31_heavy_hitters": heavy_hitters, "q32_unit_map": unit_map,
+    "q33_manifest_tree": manifest_tree, "q34_overflow_moves": overflow_moves, "q35_overflow_index": overflow_index, "q36_mixed_batches": mixed_batches,
+    "q37_upsert_lineitem": upsert_lineitem, "q38_stream_latest": stream_latest, "q39_point_lookup": point_lookup, "q40_generator_draws": generator_draws,
+    "q41_staged_read": staged_read,
+}
+
+def _fnv_sql() -> str:
+    """One nested SELECT per octet keeps the running hash a column."""
+    inner = "SELECT o_orderkey, CAST(14695981039346656037 AS HUGEINT) AS a FROM orders WHERE o_orderkey % 5 = 0"
+    for i in range(8):
+        inner = f"SELECT o_orderkey, ((a - a % 256 + CAST(xor(CAST(a % 256 AS BIGINT), (o_orderkey >> {8 * i}) & 255) AS HUGEINT)) * 1099511628211) % 18446744073709551616 AS a FROM ({inner})"
+    return f"SELECT o_orderkey, CAST(a % 2000 AS BIGINT) AS scrambled FROM ({inner})"
+
+
+_LATEST_IN = "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id // 1000 < 4 GROUP BY user_id"
+SQL = {
+    "q01_latest_events": LATEST_EVENTS,
+    "q02_multi_get": f"SELECT p.user_id, l.user_id IS NOT NULL AS found, event_id, value FROM ({PROBES}) p LEFT JOIN ({LATEST_EVENTS}) l ON p.user_id = l.user_id",
+    "q03_multi_get_hits": f"SELECT user_id FROM ({PROBES}) p WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.user_id)",
+    "q04_multi_get_misses": f"SELECT user_id FROM ({PROBES}) p WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.user_id)",
+    "q05_route": f"SELECT o_orderkey, {PATH} AS path, {', '.join(f'CAST({_le(0, 1)} // {8**i} % 8 AS BIGINT) AS slot{i}' for i in range(4))}, {BARREL} AS barrel FROM ({ORDER_HASH})",
+    "q06_chain_and_order": f"SELECT o_orderkey, CAST({_le(16, 19)} % 64 AS BIGINT) AS chain, CASE WHEN s = 0 THEN w ELSE ((w << s) & 4294967295) | (w >> (32 - s)) END AS move_order FROM (SELECT o_orderkey, h, CAST({BARREL} % 32 AS INTEGER) AS s, CAST({_le(12, 15)} AS BIGINT) AS w FROM ({ORDER_HASH}))",
+    "q07_row_volume": "SELECT doc_id, CAST(k + v + CASE WHEN k < 128 THEN 1 WHEN k < 16384 THEN 2 ELSE 3 END + CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 ELSE 3 END AS BIGINT) AS volume FROM (SELECT doc_id, octet_length(encode(CAST(doc_id AS VARCHAR))) AS k, octet_length(encode(text)) AS v FROM documents)",
+    "q09_segment_fill": f"SELECT seg, count(*) AS items, CAST(sum(volume) AS BIGINT) AS volume FROM ({EVENT_LOG}) GROUP BY seg",
+    "q10_feed_prefix": FEED,
+    "q11_pick_fullest_child": f"SELECT * FROM ({FEED}) ORDER BY nr_feed DESC, node LIMIT 1",
+    "q12_full_children": f"SELECT node, count(*) AS segments FROM ({PLACED}) GROUP BY node HAVING count(*) >= 20",
+    "q13_compaction_output": f"SELECT user_id, event_id, value, CAST({_le(0, 1, 'sha1(CAST(user_id AS VARCHAR))')} % 8 AS BIGINT) AS slot FROM ({_LATEST_IN})",
+    "q14_compaction_invariant": LATEST_EVENTS,
+    "q15_version_amplification": f"SELECT seg, count(*) AS stored, count(DISTINCT user_id) AS keys, round(CAST(count(*) AS DOUBLE) / count(DISTINCT user_id), 9) AS amplification FROM ({EVENT_LOG}) GROUP BY seg",
+    "q16_bloom_positions": f"SELECT id AS o_orderkey, CAST(j AS INTEGER) AS j, {POS} AS pos FROM (SELECT id, hv, 1021 AS bits FROM ({BLOOM_KEYS}) WHERE id % 10 = 0), range(0, 11) r(j)",
+    "q17_bloom_filter_bits": f"SELECT barrel, max(bits) AS bits, count(*) AS set_bits FROM ({FILTERS}) GROUP BY barrel",
+    "q18_bloom_probe": f"WITH f AS ({FILTERS}), k AS ({BLOOM_KEYS}), b AS (SELECT DISTINCT barrel, bits FROM f), a AS (SELECT DISTINCT id, barrel, {POS} AS pos FROM (SELECT id, k.barrel, hv, bits FROM k JOIN b ON k.barrel = b.barrel), range(0, 11) r(j)), m AS (SELECT a.id, count(f.pos) = count(*) AS ok FROM a LEFT JOIN f ON a.barrel = f.barrel AND a.pos = f.pos GROUP BY a.id) SELECT k.id % 2 = 0 AS present, count(*) AS probes, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS matches FROM k LEFT JOIN m ON k.id = m.id GROUP BY 1",
+    "q19_segment_bitmap": "SELECT user_id, bit_or(CAST(1 AS BIGINT) << CAST(event_id // 1000 AS INTEGER)) AS bitmap FROM events WHERE event_id // 1000 < 62 GROUP BY user_id",
+    "q20_barrel_histogram": f"SELECT items, count(*) AS barrels FROM (SELECT {BARREL} AS barrel, count(*) AS items FROM ({ORDER_HASH}) GROUP BY 1) GROUP BY items",
+    "q21_segment_report": f"SELECT seg, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS items, count(DISTINCT user_id) AS keys, round(CAST(sum(volume) AS DOUBLE) * 100.0 / 33554432, 9) AS percent FROM ({EVENT_LOG}) GROUP BY seg",
+    "q22_trie_rollup": f"SELECT slot0, slot1, slot2, count(*) AS items FROM (SELECT {', '.join(f'CAST({_le(0, 1)} // {8**i} % 8 AS BIGINT) AS slot{i}' for i in range(3))} FROM ({ORDER_HASH})) GROUP BY ROLLUP (slot0, slot1, slot2)",
+    "q23_hit_level": "SELECT k // 1000 % 5 AS level, count(*) AS hits FROM (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) GROUP BY 1",
+    "q24_amplification": "SELECT level, written, kept, round(CAST(written AS DOUBLE) / kept, 9) AS write_amp, round(CAST(written AS DOUBLE) * 100.0 / nullif(missed, 0), 9) AS miss_ratio FROM (SELECT event_id // 1000 % 3 AS level, count(*) AS written, count(DISTINCT user_id) AS kept, sum(CASE WHEN value > 1e9 THEN 1 ELSE 0 END) AS missed FROM events GROUP BY 1)",
+    "q25_latency_histogram": "WITH h AS (SELECT CAST(floor(value) AS BIGINT) AS bucket, count(*) AS count FROM events WHERE floor(value) >= 0 AND floor(value) < 100000 GROUP BY 1) SELECT bucket, count FROM h WHERE count > (SELECT sum(count) FROM h) // 1024",
+    "q26_latency_percentiles": "WITH h AS (SELECT CAST(floor(value) AS BIGINT) AS bucket, count(*) AS c FROM events WHERE floor(value) >= 0 AND floor(value) < 100000 GROUP BY 1), r AS (SELECT bucket, sum(c) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS cum, (SELECT sum(c) FROM h) AS n FROM h) SELECT " + ", ".join(f"min(CASE WHEN cum >= n * {p} // 1000 THEN bucket END) AS p{p}" for p in (950, 990, 999)) + ", max(bucket) AS max_bucket FROM r",
+    "q27_qps_report": "SELECT batch, ops, delta_usec, round(ops * 1e6 / nullif(CAST(delta_usec AS DOUBLE), 0), 6) AS qps FROM (SELECT batch, ops, until - lag(until) OVER (ORDER BY batch) AS delta_usec FROM (SELECT event_id // 1000 AS batch, count(*) AS ops, max(epoch_us(ts)) AS until FROM events GROUP BY 1))",
+    "q28_fnv_scramble": _fnv_sql(),
+    "q29_zipf_draws": _zipf_sql(),
+    "q30_distribution_report": "WITH v AS (SELECT CAST(floor(value) AS BIGINT) AS v, row_number() OVER (ORDER BY value) - 1 AS i FROM events), n AS (SELECT count(*) AS n FROM events) SELECT pct, v AS value FROM range(5, 100, 5) r(pct), n, v WHERE v.i = n * pct // 100",
+    "q31_heavy_hitters": f"WITH z AS ({_zipf_sql()}) SELECT draw, count(*) AS c FROM z GROUP BY draw HAVING count(*) >= (SELECT count(*) FROM z) // 100",
+    "q32_unit_map": "SELECT o_orderkey // 64 AS line, rpad(string_agg(CASE WHEN o_orderstatus = 'F' THEN '*' ELSE '-' END, '' ORDER BY o_orderkey), 64, '#') AS map, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS used FROM orders GROUP BY 1",
+    "q33_manifest_tree": MANIFEST,
+    "q34_overflow_moves": MOVES,
+    "q35_overflow_index": INDEX,
+    "q36_mixed_batches": "SELECT e.event_id // 1000 AS batch, CAST(sum(CASE WHEN e.event_id % 100 < 60 THEN 1 ELSE 0 END) AS BIGINT) AS writes, CAST(sum(CASE WHEN e.event_id % 100 < 60 THEN 0 ELSE 1 END) AS BIGINT) AS reads, CAST(sum(CASE WHEN e.event_id % 100 >= 60 AND f.fw < e.event_id THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM events e LEFT JOIN (SELECT user_id, min(event_id) AS fw FROM events WHERE event_id % 100 < 60 GROUP BY user_id) f ON e.user_id = f.user_id GROUP BY 1",
+    "q37_upsert_lineitem": "SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1",
+    "q38_stream_latest": LATEST_EVENTS,
+    "q39_point_lookup": f"SELECT * FROM ({LATEST_EVENTS}) WHERE user_id = 7",
+    "q40_generator_draws": f"SELECT event_id, CAST(1984 AS BIGINT) AS c, CAST(20 + floor(u * 1980) AS BIGINT) AS uni, CAST(floor(-ln(greatest(u, 1.1641532182693481e-10)) / 0.02995732273553991) AS BIGINT) AS expo FROM (SELECT event_id, {U_ID} AS u FROM events)",
+    "q41_staged_read": _staged_sql(),
+}
+SQL["q08_oversize_rows"] = f"SELECT * FROM ({SQL['q07_row_volume']}) WHERE volume > {BLOCK_BYTES}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,3 +22,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="keystrata-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more.
+
+    Spark does so when the driver's collector finds them unreachable, which on an idle driver can
+    take half an hour; an operator with several large phases calls this between them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm import words as W
 from keystrata.llm.exchange import ask, deal, pack, unpack
-from keystrata.session import checkpoint_dir
+from keystrata.session import checkpoint_dir, release
 
 WIDTH = 5
 # Documents link when 100 * |A & B| >= 80 * |A | B|; so |A xor B| <= (|A| + |B|) / 9.
@@ -186,8 +186,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: labels still change")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets link; exact, on the sets themselves."""
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets link; exact, on the sets themselves.
+
+    Only sets of nodes in ``pairs`` pass the first exchange, one per node; the second moves one set
+    per pair.
+    """
+    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    sets = found.where(F.col("shingles").isNotNull()).select("sid", "shingles").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -224,6 +230,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda group, replies: _finish(group, replies, width, heavy, buckets),
         "doc_id long, n long, sid binary, keys array<long>, shingles array<long>",
     ).checkpoint()
+    release(spark)  # the texts and requests
     nodes = found.where(F.size("keys") > 0).select("sid", "n", "keys", "doc_id").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     held = nodes.select("sid", "n", F.explode("keys").alias("key"))
     several = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -233,8 +240,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("hub")).select("key", F.col("hub.sid").alias("a"), F.col("hub.n").alias("na"))
     near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
     star = held.withColumnsRenamed({"sid": "b", "n": "nb"}).join(hubs, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct().checkpoint()
-    sets = found.where(F.col("shingles").isNotNull()).select("sid", "doc_id", "shingles").join(nodes.select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).select("sid", "shingles").dropDuplicates(["sid"])
-    links = _verified(star, sets).checkpoint()
+    links = _verified(star, found).checkpoint()
     label = components(links)
     # What a key still holds apart: all pairs across components that were not compared yet.
     apart = held.where("c > 2").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("label", "sid").alias("label"))
@@ -243,8 +249,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left, right = (apart.select("key", F.col("sid").alias(s), F.col("n").alias("n" + s), F.col("label").alias("l" + s)) for s in "ab")
     rest = left.join(right, "key").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(rest.join(done, ["a", "b"], "left_anti"), sets).checkpoint()
-    if more.limit(1).count():
+    rest = rest.join(done, ["a", "b"], "left_anti").checkpoint()
+    if rest.limit(1).count():
+        more = _verified(rest, found).checkpoint()
         label = components(links.union(more))
     named = found.select("doc_id", "n", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("label", "sid").alias("c"))
     least = named.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))

@@ -42,6 +42,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeeze(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as one byte each, 255 standing for the next of the large ones."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint64), counts[large].astype(np.uint64)
+
+
+def unsqueeze(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.uint64)
+    out[small == 255] = large
+    return out
+
+
 def deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
     """Adds the group number ``g``; returns also the counts of groups and buckets.
 

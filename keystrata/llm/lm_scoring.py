@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import words as W
-from keystrata.llm.exchange import ask, deal, pack, unpack
+from keystrata.llm.exchange import ask, deal, pack, squeeze, unpack, unsqueeze
 
 PRIOR = 4.0  # words of prior mass that a context takes from the unigram model
 SHARED = 1000.0  # words of prior mass that the target's unigram model takes from the vocabulary
@@ -49,17 +49,17 @@ def _request(group: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
     target = np.bincount(back, weights=weight, minlength=len(key)).astype(np.uint64)[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
-        yield int(bucket[s]), pack(key[order[s:e]], every[s:e], target[s:e])
+        yield int(bucket[s]), pack(key[order[s:e]], *squeeze(every[s:e]), *squeeze(target[s:e]))
 
 
 def _answer(requests: list[bytes]) -> list[bytes]:
     """Counts over the whole corpus and over the target, of every key asked for."""
-    parts = [unpack(x) for x in requests]
+    parts = [(p[0], unsqueeze(p[1], p[2]), unsqueeze(p[3], p[4])) for p in map(unpack, requests)]
     _, back = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
     every = np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.uint64)[back]
     target = np.bincount(back, weights=np.concatenate([p[2] for p in parts])).astype(np.uint64)[back]
     ends = np.cumsum([len(p[0]) for p in parts])
-    return [pack(every[e - len(p[0]) : e], target[e - len(p[0]) : e]) for p, e in zip(parts, ends, strict=True)]
+    return [pack(*squeeze(every[e - len(p[0]) : e]), *squeeze(target[e - len(p[0]) : e])) for p, e in zip(parts, ends, strict=True)]
 
 
 def _losses(row, at, uni, bi, scale: float, total: float, types: float, base=None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,8 @@ def _finish(group: pa.Table, replies: dict[int, bytes], buckets: int, n_every: i
     every, target = np.empty(len(key)), np.empty(len(key))
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
-        every[order[s:e]], target[order[s:e]] = unpack(replies[int(bucket[s])])
+        told = unpack(replies[int(bucket[s])])
+        every[order[s:e]], target[order[s:e]] = unsqueeze(told[0], told[1]), unsqueeze(told[2], told[3])
     where = np.concatenate([row, row[at]])
     _, again, times = np.unique(where * len(key) + back, return_inverse=True, return_counts=True)
     own = times[again]  # a document is scored by the counts of all others

@@ -4,8 +4,9 @@
     manifest/v=<n>/                                mtid, level, path, items, volume, seq range
     _CURRENT                                       the published manifest version
 
-Writers are single; readers see the version that `_CURRENT` names.  A version is published by an
-atomic rename, and old segments go only by `vacuum`.
+Writers are single; readers see the version that `_CURRENT` names.  Publishing deletes `_CURRENT`
+and renames `_CURRENT.next` to it; a reader that meets the gap takes the latter.  Old segments go
+only by `vacuum`.
 """
 
 from __future__ import annotations

@@ -18,6 +18,10 @@ WIDTH = 5
 # Documents link when 100 * |A & B| >= 80 * |A | B|; so |A xor B| <= (|A| + |B|) / 9.
 THRESHOLD = 80
 SAMPLE_ROWS, HEAVY_SHARE, MOST_HEAVY = 20_000, 0.001, 1 << 16
+# Bits of a whole-set sketch: eight to four a shingle, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 12
+# Nodes of a key in one block, and rows (with their sketches) in one group of blocks.
+BLOCK_NODES, GROUP_ROWS = 512, 8192
 
 
 def shingle_sets(words: W.Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +103,25 @@ def sketch_keys(row: np.ndarray, h: np.ndarray, n_rows: int, heavy: np.ndarray)
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
+def parity_sketch(h: np.ndarray) -> bytes:
+    """The set's parity sketch: every shingle flips one bit, so the Hamming distance of two sketches
+    is at most the symmetric difference of their sets."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 8 << (len(h).bit_length() - 1)))
+    at = (W.mix(h ^ np.uint64(0x3C3C3C3C3C3C3C3C)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, each halved by XOR until it has ``size`` bytes."""
+    out = np.empty((len(sketches), size // 8), dtype=np.uint64)
+    for i, x in enumerate(sketches):
+        bits = np.frombuffer(x, dtype=np.uint64)
+        while len(bits) > size // 8:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        out[i] = bits
+    return out
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch, "text"):
@@ -148,7 +171,7 @@ def _finish(group: pa.Table, replies: dict[int, bytes], width: int, heavy: np.nd
     for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
         shared[s:e] |= np.unpackbits(np.frombuffer(replies[int(bucket[s])], np.uint8), count=e - s).astype(bool)
     known = np.sort(key[shared])
-    ids, n, sid, keys, sets = [], [], [], [], []
+    ids, n, sid, keys, sets, sketches = [], [], [], [], [], []
     for part, row, h, krow, k in parts:
         hit = known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k if len(known) else np.zeros(len(k), bool)
         order = np.argsort(krow[hit], kind="stable")
@@ -160,10 +183,11 @@ def _finish(group: pa.Table, replies: dict[int, bytes], width: int, heavy: np.nd
             sid.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             keys.append(np.unique(mine))
             sets.append(own.view(np.int64) if len(mine) else None)
+            sketches.append(parity_sketch(own) if len(mine) else None)
         ids.append(part.column("doc_id"))
     longs = pa.list_(pa.int64())
     doc = pa.chunked_array([c for col in ids for c in (col.chunks if isinstance(col, pa.ChunkedArray) else [col])], pa.int64())
-    return pa.table({"doc_id": doc, "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.binary()), "keys": pa.array(keys, longs), "shingles": pa.array(sets, longs)})
+    return pa.table({"doc_id": doc, "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.binary()), "keys": pa.array(keys, longs), "shingles": pa.array(sets, longs), "sketch": pa.array(sketches, pa.binary())})
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -186,6 +210,72 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: labels still change")
 
 
+def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches are no further apart than a link allows."""
+    for batch in batches:
+        a, b = batch.column("ka").to_pylist(), batch.column("kb").to_pylist()
+        most = _distance(np.asarray(batch.column("na")), np.asarray(batch.column("nb")))
+        size = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+        keep = np.zeros(len(a), dtype=bool)
+        for z in np.unique(size).tolist():
+            at = np.flatnonzero(size == z)
+            far = np.bitwise_count(_folded([a[i] for i in at], z) ^ _folded([b[i] for i in at], z)).sum(1)
+            keep[at] = far <= most[at]
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _close_blocks(group: pa.Table) -> pa.Table:
+    """Pairs (a, b) of different labels in two blocks of a key that sizes and sketches allow to link."""
+    group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    key, i, j, block, n, label = (group.column(c).to_numpy() for c in ("key", "i", "j", "block", "n", "label"))
+    sid, sketch = group.column("sid").to_pylist(), group.column("sketch").to_pylist()
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    cuts = [*np.flatnonzero(new).tolist(), len(key)]
+    found = set()
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        if i[s] == j[s]:
+            left = right = np.arange(s, e)
+        else:
+            left, right = s + np.flatnonzero(block[s:e] == i[s]), s + np.flatnonzero(block[s:e] == j[s])
+        if not len(left) or not len(right):
+            continue
+        size = min(len(sketch[x]) for x in range(s, e))
+        ours, theirs = _folded([sketch[x] for x in left], size), _folded([sketch[x] for x in right], size)
+        step = max(1, (1 << 20) // theirs.size)
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            far = np.bitwise_count(ours[at : at + step, None] ^ theirs[None]).sum(2, dtype=np.int64)
+            na, nb = n[part][:, None], n[right][None]
+            good = (far <= _distance(na, nb)) & (label[part][:, None] != label[right][None]) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+            for x, y in zip(*np.nonzero(good), strict=True):
+                found.add((min(sid[part[x]], sid[right[y]]), max(sid[part[x]], sid[right[y]])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def _apart(held: DataFrame, label: DataFrame, kept: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share a key, have different labels and pass the sketches.
+
+    A key's nodes are split into those of its largest label and the others, both into blocks of
+    ``BLOCK_NODES``; others meet all blocks, and the largest label none of its own.  Pairs are
+    compared inside a task, block against block, and only those that pass become rows.
+    """
+    named = label.withColumnRenamed("node", "sid").withColumnRenamed("label", "l")
+    rows = held.where("c > 2").join(named, "sid", "left").select("key", "sid", "n", F.xxhash64(F.coalesce("l", "sid")).alias("label"))
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
+    split = each.groupBy("key").agg(F.sum("m").alias("c"), F.max("m").alias("main"), F.max_by("label", F.struct("m", "label")).alias("top")).where("c > main")
+    many = lambda x: F.when(F.col("c") <= BLOCK_NODES, 1).otherwise(F.ceil(x / BLOCK_NODES)).cast("int")
+    dealt = rows.join(split.select("key", "c", "top", many(F.col("c") - F.col("main")).alias("others"), many(F.col("main")).alias("mains")), "key")
+    dealt = dealt.withColumn("is_main", (F.col("label") == F.col("top")) & (F.col("c") > BLOCK_NODES))
+    dealt = dealt.withColumn("block", F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("sid"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("sid"), F.col("others"))).cast("int"))
+    last = F.when(F.col("is_main") | (F.col("c") <= BLOCK_NODES), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    dealt = dealt.select("key", "sid", "n", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).checkpoint()
+    groups = max(1, -(-dealt.count() // GROUP_ROWS))
+    full = dealt.join(kept.select("sid", "sketch"), "sid").withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+    return full.groupBy("g").applyInArrow(_close_blocks, "a binary, b binary").distinct()
+
+
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets link; exact, on the sets themselves.
 
@@ -207,8 +297,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are lower-cased (A-Z); a set is the distinct ``width``-word shingles, or the whole
     sequence of a shorter text.  Sets of equal content are one node.  Nodes that share a sketch key
     are first compared with the key's hub, the node that shares most keys in all; what stays apart
-    within a key is then compared pair by pair, so no link between different sets is lost, while
-    a group of near copies costs about one comparison each.
+    within a key is then compared by whole-set sketches in blocks, and only pairs that those leave
+    are verified on the sets.  No link between different sets is lost, and a group of near copies
+    costs about one verified comparison each.
 
     Null texts and texts without words link with nothing and are their own component.  Rows that
     repeat an id are one by one nodes or copies like other rows.  A null id is an error; an empty
@@ -228,10 +319,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda group: _request(group, width, heavy, buckets),
         _answer,
         lambda group, replies: _finish(group, replies, width, heavy, buckets),
-        "doc_id long, n long, sid binary, keys array<long>, shingles array<long>",
+        "doc_id long, n long, sid binary, keys array<long>, shingles array<long>, sketch binary",
     ).checkpoint()
     release(spark)  # the texts and requests
-    nodes = found.where(F.size("keys") > 0).select("sid", "n", "keys", "doc_id").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+    nodes = found.where(F.size("keys") > 0).select("sid", "n", "keys", "doc_id", "sketch").groupBy("sid").agg(F.first("n").alias("n"), F.min_by("keys", "doc_id").alias("keys"), F.first("sketch").alias("sketch")).checkpoint()
+    kept = nodes.select("sid", "n", "sketch")
     held = nodes.select("sid", "n", F.explode("keys").alias("key"))
     several = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     held = held.join(several, "key").checkpoint()
@@ -240,16 +332,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("hub")).select("key", F.col("hub.sid").alias("a"), F.col("hub.n").alias("na"))
     near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
     star = held.withColumnsRenamed({"sid": "b", "n": "nb"}).join(hubs, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct().checkpoint()
-    links = _verified(star, found).checkpoint()
+    close = star.join(kept.toDF("a", "na", "ka"), "a").join(kept.toDF("b", "nb", "kb"), "b").mapInArrow(_close_pairs, "a binary, b binary").checkpoint()
+    release(spark)
+    links = _verified(close, found).checkpoint()
     label = components(links)
-    # What a key still holds apart: all pairs across components that were not compared yet.
-    apart = held.where("c > 2").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("label", "sid").alias("label"))
-    split = apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    apart = apart.join(split, "key")
-    left, right = (apart.select("key", F.col("sid").alias(s), F.col("n").alias("n" + s), F.col("label").alias("l" + s)) for s in "ab")
-    rest = left.join(right, "key").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # What a key still holds apart: pairs across components that were not compared yet.
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.join(done, ["a", "b"], "left_anti").checkpoint()
+    rest = _apart(held, label, kept).join(done, ["a", "b"], "left_anti").checkpoint()
     if rest.limit(1).count():
         more = _verified(rest, found).checkpoint()
         label = components(links.union(more))

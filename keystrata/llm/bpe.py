@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.session import checkpoint_dir
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 DICTIONARY = 32_768
 SAMPLE_BYTES = 32 << 20
@@ -101,8 +103,11 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
             w = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([[byte_ids[c] for c in x.encode()] for x in w], pa.list_(pa.int32()))], ["w", "parts"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spelt = words.repartition(parts, "w").mapInArrow(spell, "w string, parts array<int>")
+    spark = docs.sparkSession
+    checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Cut here: with the literal rank map in a plan of several stages, every plan update would print it again.
+    spelt = words.repartition(parts, "w").mapInArrow(spell, "w string, parts array<int>").checkpoint()
     got = spelt.select("w", merge_fold(F.col("parts"), PairTable(ranks)).alias("ids")).toArrow()
     return dict(zip(got.column("w").to_pylist(), got.column("ids").to_pylist(), strict=True))
 

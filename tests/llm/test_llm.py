@@ -98,3 +98,21 @@ def test_repeated_rows(docs):
     assert rows(substring_dedup.substring_dedup(twice), "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)) == brute.substring(again)
     assert rows(ngram_jaccard.ngram_jaccard(twice), "doc_id", "n_shingles", "component_id") == brute.jaccard(again)
     assert exact_dedup.exact_dedup(twice).where("kept").count() == exact_dedup.exact_dedup(docs).where("kept").count()
+
+
+def test_jaccard_near_copies(spark, monkeypatch):
+    """A group of near copies around the threshold, over several blocks of a key."""
+    import random
+
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_NODES", 8)
+    monkeypatch.setattr(ngram_jaccard, "GROUP_ROWS", 64)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    made = []
+    for d in range(60):
+        words = list(base)
+        for at in rng.sample(range(150), 2 + d % 3):
+            words[at] = f"x{d}_{at}"
+        made.append((d, " ".join(words)))
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(ngram_jaccard.ngram_jaccard(frame), "doc_id", "n_shingles", "component_id") == brute.jaccard(made)

@@ -1,8 +1,9 @@
 """Byte-level BPE: ranked merges as a fold of higher-order functions, and decoding.
 
-The fold runs over the distinct words of a bounded sample and gives a dictionary of the most
-frequent words; documents are encoded next to it, without a shuffle.  Words outside the dictionary
-take the same ranked merges in the worker.  The README has the figures behind this split.
+A task spells each word it meets for the first time as an array of byte ids, the JVM folds the
+ranked merges over it, and a second worker of the same task puts the folded ids in the places of
+the words.  All three follow each other in one task: nothing is shuffled, sampled or sent to the
+driver, and every word of every text goes through the fold.
 """
 
 from __future__ import annotations
@@ -15,14 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.session import checkpoint_dir
-
 RANKS = "byte_bpe_multi_50k.tiktoken"
-DICTIONARY = 32_768
-SAMPLE_BYTES = 32 << 20
-SLICE_PIECES = 1 << 19
+SLICE_PIECES = 1 << 18
+HELD_WORDS = 1 << 19  # distinct words a task holds before it starts anew
+ROW_WORDS = 1 << 10
 NONE = 1 << 20  # above every rank
-_PRIME = 4294967311  # above every key of a pair of ids
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,41 +29,55 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PairTable:
-    """Literal rank map from a pair of ids to the merged id, by displacement hashing.
+    """Literal rank map from a pair of ids to the merged id, as a sparse table of shifted rows.
 
-    Two array reads find a pair: one gives its bucket's displacement, one the only slot it can have.
+    The row of a left id begins at its shift; rows lie in each other's gaps, and an entry names its
+    left id, so two array reads find or rule out a pair.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = {ranks[t[:i]] << 16 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        keys, vals = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
-        self.slots, self.buckets = 1 << int(2 * len(keys) - 1).bit_length(), 1 << int(len(keys) // 4).bit_length()
-        self.c2 = 1103515245
-        for self.c1 in range(715827883, 715827883 + 4000, 2):
-            if self._place(keys, vals):
-                return
-        raise ValueError("no displacement found")
-
-    def _place(self, keys: np.ndarray, vals: np.ndarray) -> bool:
-        bucket, slot = keys * self.c2 % _PRIME % self.buckets, keys * self.c1 % _PRIME % self.slots
-        order, count = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=self.buckets)
-        start = np.concatenate([[0], np.cumsum(count)])
-        self.table, self.shift = np.full(self.slots, -1, np.int64), np.zeros(self.buckets, np.int64)
-        for b in np.argsort(-count, kind="stable")[: int((count > 0).sum())]:
-            k = order[start[b] : start[b + 1]]
-            if len(np.unique(slot[k])) < len(k):
-                return False
-            step = 0
-            while (self.table[at := (slot[k] + step * 7919) % self.slots] >= 0).any():
-                step += 1
-            self.table[at], self.shift[b] = keys[k] << 16 | vals[k], step
-        return True
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None:
+                    rows.setdefault(left, []).append((right, r))
+        self.shift = np.full(1 + max(ranks.values(), default=0), -NONE, np.int64)
+        self.table = np.full(1 << 12, -1, np.int64)
+        low = 0
+        for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            if len(row) == 1:
+                break
+            right, rank = np.array(sorted(row), np.int64).T
+            low, at = self._fit(low, right - right[0])
+            self.table[at + right - right[0]] = left << 16 | rank
+            self.shift[left] = at - right[0]
+        single = np.array([(left, *row[0]) for left, row in rows.items() if len(row) == 1], np.int64).reshape(-1, 3)
+        self._reach(len(self.table) + len(single))
+        at = np.flatnonzero(self.table < 0)[: len(single)]
+        self.table[at] = single[:, 0] << 16 | single[:, 2]
+        self.shift[single[:, 0]] = at - single[:, 1]
+        self.table = self.table[: 1 + int(np.flatnonzero(self.table >= 0).max(initial=0))]
+
+    def _reach(self, n: int) -> None:
+        if n > len(self.table):
+            self.table = np.concatenate([self.table, np.full(n, -1, np.int64)])
+
+    def _fit(self, low: int, right: np.ndarray) -> tuple[int, int]:
+        """(where the next search begins, first place from ``low`` on where the row meets no other)."""
+        start, width = low, 256
+        while True:
+            self._reach(low + width + int(right[-1]) + 1)
+            at = low + np.flatnonzero(self.table[low : low + width] < 0)
+            for k in range(0, len(at), 256):
+                free = (self.table[at[k : k + 256, None] + right] < 0).all(axis=1)
+                if free.any():
+                    return (low if low - start > 1000 else start), int(at[k + np.argmax(free)])
+            low, width = low + width, min(4096, width * 2)
 
     def rank(self, a: Column, b: Column) -> Column:
-        key = a.cast("bigint") * 65536 + b
-        shift = F.get(F.from_json(F.lit(str(self.shift.tolist())), "array<int>"), (key * self.c2 % _PRIME % self.buckets).cast("int"))
-        entry = F.get(F.from_json(F.lit(str(self.table.tolist())), "array<bigint>"), ((key * self.c1 % _PRIME % self.slots + shift * 7919) % self.slots).cast("int"))
-        return F.when(F.shiftright(entry, 16) == key, entry.bitwiseAND(65535).cast("int")).otherwise(NONE)
+        shift = F.get(F.from_json(F.lit(str(self.shift.tolist())), "array<int>"), a)
+        entry = F.get(F.from_json(F.lit(str(self.table.tolist())), "array<bigint>"), shift + b)
+        return F.when(F.shiftright(entry, 16) == a, entry.bitwiseAND(65535).cast("int")).otherwise(NONE)
 
 
 def _let(x: Column, f) -> Column:
@@ -73,14 +85,28 @@ def _let(x: Column, f) -> Column:
 
 
 def merge_fold(parts: Column, table: PairTable) -> Column:
-    """Folds ranked merges over an array of byte ids: the leftmost pair of least rank merges first."""
+    """Folds ranked merges over an array of byte ids: the leftmost pair of least rank merges first.
+
+    The state is the ids and the rank of every pair of neighbours, with NONE at both ends; a merge
+    looks up only the two pairs that are new.
+    """
+    none = F.array(F.lit(NONE))
+
+    def merged(ids: Column, ranks: Column, m: Column, q: Column) -> Column:
+        beside = F.array(F.struct(F.get(ids, q - 3).alias("a"), m.alias("b")), F.struct(m.alias("a"), F.get(ids, q).alias("b")))
+        fresh = F.transform(beside, lambda x: table.rank(x["a"], x["b"]))
+        return F.struct(
+            F.concat(F.slice(ids, 1, q - 2), F.array(m), F.slice(ids, q + 1, F.size(ids))).alias("ids"),
+            F.concat(F.slice(ranks, 1, q - 2), fresh, F.slice(ranks, q + 2, F.size(ranks))).alias("ranks"),
+        )
 
-    def step(ids: Column, _: Column) -> Column:
-        ranks = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: table.rank(x, F.get(ids, i + 1)))
-        join = lambda rk, m, p: F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, F.size(ids)))
-        return _let(ranks, lambda rk: _let(F.array_min(rk), lambda m: F.when(F.coalesce(m, F.lit(NONE)) >= NONE, ids).otherwise(_let(F.array_position(rk, m).cast("int"), lambda p: join(rk, m, p)))))
+    def step(s: Column, _: Column) -> Column:
+        ids, ranks = s["ids"], s["ranks"]
+        return _let(F.array_min(ranks), lambda m: F.when(m >= NONE, s).otherwise(_let(F.array_position(ranks, m).cast("int"), lambda q: merged(ids, ranks, m, q))))
 
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), parts, step)
+    pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: table.rank(x, F.get(parts, i + 1)))
+    start = F.struct(parts.alias("ids"), F.concat(none, pairs, none).alias("ranks"))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), start, step, lambda s: s["ids"])
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -88,92 +114,134 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", most: int = DICTIONARY, sample_bytes: int = SAMPLE_BYTES) -> dict[str, list[int]]:
-    """Ids of the ``most`` most frequent words of a sample of about ``sample_bytes``; a bounded cache.
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
-    It decides what is looked up and what is merged in place, never a result.
-    """
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, total // sample_bytes))) == 0)
-    words = some.select(F.explode(pieces(F.col(text_col), pattern)).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).select("w")
-    byte_ids = [ranks[bytes([i])] for i in range(256)]
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([[byte_ids[c] for c in x.encode()] for x in w], pa.list_(pa.int32()))], ["w", "parts"])
+def _cuts(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with ``most`` values or one row each."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
+        yield at, to
+        at = to
 
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Cut here: with the literal rank map in a plan of several stages, every plan update would print it again.
-    spelt = words.repartition(parts, "w").mapInArrow(spell, "w string, parts array<int>").checkpoint()
-    got = spelt.select("w", merge_fold(F.col("parts"), PairTable(ranks)).alias("ids")).toArrow()
-    return dict(zip(got.column("w").to_pylist(), got.column("ids").to_pylist(), strict=True))
 
+class _Speller:
+    """Numbers the words of a task; a word's number comes with its byte ids the first time."""
 
-class _Encoder:
-    """Worker side: ids of words from the dictionary, or by the library's ranked merges."""
+    def __init__(self, byte_ids: list[int], pattern: str, schema: pa.Schema, held: int):
+        self.byte_ids, self.pattern, self.schema, self.held = np.array(byte_ids, np.int32), pattern, schema, held
+        self.known: dict[str, int] = {}
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, list[int]]):
-        import tiktoken
+    def spelt(self, words: list[str], anew: bool) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(words), ROW_WORDS):
+            raw = [w.encode() for w in words[k : k + ROW_WORDS]]
+            ends = np.cumsum([0, *map(len, raw)])
+            parts = _lists(ends, pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
+            row = {"_codes": pa.nulls(1, pa.binary()), "_anew": pa.array([anew and k == 0]), "_parts": _lists(np.array([0, len(raw)]), parts)}
+            yield pa.RecordBatch.from_arrays([row[f.name] if f.name in row else pa.nulls(1, f.type) for f in self.schema], schema=self.schema)
 
-        self.lib = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known = known
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in a row, where each word's ids begin)."""
-        ids = [self.known.get(w) or self.lib._encode_single_piece(w) for w in words]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(size.sum()))
-        return flat, np.concatenate([[0], np.cumsum(size)])
+    def batch(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists, odd = part.column(part.num_columns - 2), part.column(part.num_columns - 1)
+        if odd.null_count < len(odd):  # texts with characters that are newer than the JVM's tables
+            import regex
 
-    def batch(self, lists: pa.ListArray, odd: pa.Array) -> pa.ListArray:
+            found = [x if t is None else [m.group() for m in regex.finditer(self.pattern, t)] for x, t in zip(lists.to_pylist(), odd.to_pylist(), strict=True)]
+            lists = pa.array(found, pa.list_(pa.string()))
         off = np.asarray(lists.offsets, dtype=np.int64)
-        values = lists.values.slice(off[0], off[-1] - off[0])
-        coded = values.dictionary_encode()
-        flat, begin = self.words(coded.dictionary.to_pylist())
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = (begin[1:] - begin[:-1])[code] if len(code) else np.zeros(0, np.int64)
+        coded = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if anew := len(self.known) + len(words) > self.held and bool(self.known) and bool(words):
+            self.known = {}
+        fresh = [w for w in words if w not in self.known]
+        for w in fresh:
+            self.known[w] = len(self.known)
+        yield from self.spelt(fresh, anew)
+        number = np.array([self.known[w] for w in words], np.uint32)
+        codes = number[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(words) else number
+        blob = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(((off - off[0]) * 4).astype(np.int32)), pa.py_buffer(codes)])
+        yield pa.RecordBatch.from_arrays([*part.columns[:-2], blob, pa.nulls(part.num_rows, pa.bool_()), pa.nulls(part.num_rows, self.schema.field("_parts").type)], schema=self.schema)
+
+
+class _Placer:
+    """Takes the folded ids of words in the order of their numbers and puts them into the texts."""
+
+    def __init__(self):
+        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, folded: pa.ListArray) -> None:
+        words = folded.flatten()
+        size = np.diff(np.asarray(words.offsets, dtype=np.int64))
+        self.flat = np.concatenate([self.flat, words.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+
+    def ids(self, codes: pa.BinaryArray) -> pa.ListArray:
+        off = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1].astype(np.int64)
+        blob = codes.buffers()[2]
+        code = np.frombuffer(blob, np.uint8)[off[0] : off[-1]].copy().view(np.uint32).astype(np.int64) if blob and off[-1] > off[0] else np.zeros(0, np.int64)
+        size = (self.begin[1:] - self.begin[:-1])[code]
         ends = np.concatenate([[0], np.cumsum(size)])
-        out = flat[np.arange(int(ends[-1])) + np.repeat((begin[:-1][code] if len(code) else size) - ends[:-1], size)]
-        cuts = ends[off - off[0]]
-        if odd.null_count < len(odd):  # texts with characters that are newer than the JVM's tables
-            rows = [out[s:e] if t is None else np.array(self.lib.encode_ordinary(t), np.int32) for s, e, t in zip(cuts[:-1], cuts[1:], odd.to_pylist(), strict=True)]
-            cuts, out = np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows)
-        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out, pa.int32()))
+        out = self.flat[np.arange(int(ends[-1])) + np.repeat(self.begin[:-1][code] - ends[:-1], size)]
+        return _lists(ends[(off - off[0]) // 4], pa.array(out, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", held: int = HELD_WORDS) -> DataFrame:
     """``docs`` with ``ids`` (array of int) in place of the text column.
 
-    Each match of ``pattern`` is encoded by itself and special tokens are ordinary text.  Null or
-    empty texts have no ids.  Rows are independent: repeated ids or rows and other columns, which
-    are kept (but for one named ids), make no difference, and an empty table gives an empty result.
+    Each match of ``pattern`` is encoded by itself and special tokens are ordinary text.  A task
+    folds each of its distinct words once, or once more for every ``held`` others.
+
+    Null or empty texts have no ids.  Rows are independent: repeated ids or rows and other columns,
+    which are kept (but for one named ids), make no difference, and an empty table gives an empty
+    result.
     """
-    sc = docs.sparkSession.sparkContext
     ranks = load_ranks(path)
-    shared = sc.broadcast((ranks, dictionary(docs, ranks, pattern, text_col, most)))  # 50,256 ranks, ``most`` words
+    byte_ids = [ranks[bytes([i])] for i in range(256)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     odd = text.rlike(r"\p{Cn}")
     rest = [c for c in docs.columns if c not in (text_col, "ids")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.when(~odd, pieces(text, pattern)).otherwise(F.array().cast("array<string>")).alias("_pieces"), F.when(odd, text).alias("_odd"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.array(F.lit(0)).alias("ids")).schema
+    plain = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)]
+    rows = docs.select(*plain, F.when(~odd, pieces(text, pattern)).otherwise(F.array().cast("array<string>")).alias("_pieces"), F.when(odd, text).alias("_odd"))
+    empty = "array<array<int>>"
+    kept = docs.select(*plain)
+    between = kept.select("*", F.lit(None).cast("binary").alias("_codes"), F.lit(None).cast("boolean").alias("_anew"), F.lit(None).cast(empty).alias("_parts")).schema
+    final = kept.select("*", F.lit(None).cast("array<int>").alias("ids")).schema
+    for f in between.fields:  # rows of words have nothing in the other columns
+        f.nullable = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = None
+        for batch in batches:
+            if speller is None:
+                fields = [pa.field(f.name, f.type) for f in list(batch.schema)[:-2]]
+                more = [pa.field("_codes", pa.binary()), pa.field("_anew", pa.bool_()), pa.field("_parts", pa.list_(pa.list_(pa.int32())))]
+                speller = _Speller(byte_ids, pattern, pa.schema([*fields, *more]), held)
+            for at, to in _cuts(np.asarray(batch.column(batch.num_columns - 2).offsets, dtype=np.int64), SLICE_PIECES):
+                yield from speller.batch(batch.slice(at, to - at))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placer = _Placer()
         for batch in batches:
-            encoder = encoder or _Encoder(shared.value[0], pattern, shared.value[1])
-            lists = batch.column(batch.num_columns - 2)
-            off = np.asarray(lists.offsets)
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_PIECES, side="right")) - 1)
-                part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], encoder.batch(part.column(part.num_columns - 2), part.column(part.num_columns - 1))], [*rest, "ids"])
-                at = to
-
-    return rows.mapInArrow(run, schema)
+            codes, anew, folded = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
+            is_words = np.asarray(folded.is_valid())
+            edges = [0, *(np.flatnonzero(np.diff(is_words) | (np.asarray(anew.fill_null(False))[1:])) + 1).tolist(), batch.num_rows]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if is_words[s]:
+                    if anew[s].as_py():
+                        placer = _Placer()
+                    placer.learn(folded.slice(s, e - s))
+                    continue
+                run = batch.slice(s, e - s)
+                off = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset + s : codes.offset + e + 1].astype(np.int64)
+                for at, to in _cuts(off, 4 * SLICE_PIECES):
+                    part = run.slice(at, to - at)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-3], placer.ids(part.column(part.num_columns - 3))], [f.name for f in final])
+
+    table = PairTable(ranks)
+    folded = F.transform("_parts", lambda x: merge_fold(x, table)).alias("_folded")
+    out = rows.mapInArrow(spell, between).select(*[f"_c{i}" for i in range(len(rest))], "_codes", "_anew", folded).mapInArrow(place, final)
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], "ids")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -16,6 +16,7 @@ DOCS = [
     (1, P + "\nThe same long line\n  the SAME long line \nend"), (2, "x " + P + " y\nthe same long line\nend"), (3, None), (4, ""), (5, P), (6, P), (7, "  " + P.replace(" ", "\t\n") + " "),
     (8, "Ünï cödé " * 30 + " x"), (9, "one two"), (10, "One two"), (11, " \n\n "), (12, " ".join(f"w{i}" for i in range(39)) + " tail"), (13, "long " * 3000 + P),
     (14, "Licensed under the Apache License, Version 2.0.\nunder THE mit license; CC-BY-NC"), (15, "a\r\nb\x1cc 'd don't 12 345 <|endoftext|> 😀 " * 9), (2**40, P),
+    (17, "newer \U0001fae9 signs \u1c89x, \U00010d5512 it's\n\n  aaaaaaaa abababab"),
 ]
 
 
@@ -65,7 +66,7 @@ def test_bpe_round_trip(docs):
     import public_tokenizers as T
 
     path = T.path(bpe.RANKS)
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, T.PATTERN, most=50), path)
+    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, T.PATTERN, held=50), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     assert rows(out, "doc_id", F.size("ids"), F.sha2(joined, 256), F.sha2("decoded", 256)) == brute.bpe(DOCS)
 

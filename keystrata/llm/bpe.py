@@ -41,7 +41,7 @@ class PairTable:
             for i in range(1, len(t)):
                 if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None:
                     rows.setdefault(left, []).append((right, r))
-        self.shift = np.full(1 + max(ranks.values(), default=0), -NONE, np.int64)
+        self.shift = np.full(1 << 16, -NONE, np.int64)
         self.table = np.full(1 << 12, -1, np.int64)
         low = 0
         for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -71,7 +71,7 @@ class PairTable:
             for k in range(0, len(at), 256):
                 free = (self.table[at[k : k + 256, None] + right] < 0).all(axis=1)
                 if free.any():
-                    return (low if low - start > 1000 else start), int(at[k + np.argmax(free)])
+                    return (low if low - start > 4000 else start), int(at[k + np.argmax(free)])
             low, width = low + width, min(4096, width * 2)
 
     def rank(self, a: Column, b: Column) -> Column:
@@ -87,26 +87,26 @@ def _let(x: Column, f) -> Column:
 def merge_fold(parts: Column, table: PairTable) -> Column:
     """Folds ranked merges over an array of byte ids: the leftmost pair of least rank merges first.
 
-    The state is the ids and the rank of every pair of neighbours, with NONE at both ends; a merge
-    looks up only the two pairs that are new.
+    The state is one number per token: rank of the pair it begins, place of its first byte, id, in
+    this order of weight, so that the least number is the pair to merge.  A merge looks up only the
+    two pairs that are new.  An entry that begins no pair stands in front.
     """
-    none = F.array(F.lit(NONE))
+    front = F.lit(NONE << 40 | 65535).cast("bigint")
+    high = lambda rank: F.shiftleft(rank.cast("bigint"), 40)
+    id_of = lambda e: e.bitwiseAND(65535).cast("int")
 
-    def merged(ids: Column, ranks: Column, m: Column, q: Column) -> Column:
-        beside = F.array(F.struct(F.get(ids, q - 3).alias("a"), m.alias("b")), F.struct(m.alias("a"), F.get(ids, q).alias("b")))
-        fresh = F.transform(beside, lambda x: table.rank(x["a"], x["b"]))
-        return F.struct(
-            F.concat(F.slice(ids, 1, q - 2), F.array(m), F.slice(ids, q + 1, F.size(ids))).alias("ids"),
-            F.concat(F.slice(ranks, 1, q - 2), fresh, F.slice(ranks, q + 2, F.size(ranks))).alias("ranks"),
-        )
+    def merged(s: Column, m: Column, q: Column) -> Column:
+        left, new = F.get(s, q - 2), F.shiftright(m, 40).cast("int")
+        before = high(table.rank(id_of(left), new)).bitwiseOR(left.bitwiseAND((1 << 40) - 1))
+        here = high(table.rank(new, id_of(F.get(s, q + 1)))).bitwiseOR(m.bitwiseAND(((1 << 40) - 1) ^ 65535)).bitwiseOR(new.cast("bigint"))
+        return F.concat(F.slice(s, 1, q - 2), F.array(before, here), F.slice(s, q + 2, F.size(s)))
 
     def step(s: Column, _: Column) -> Column:
-        ids, ranks = s["ids"], s["ranks"]
-        return _let(F.array_min(ranks), lambda m: F.when(m >= NONE, s).otherwise(_let(F.array_position(ranks, m).cast("int"), lambda q: merged(ids, ranks, m, q))))
+        return _let(F.array_min(s), lambda m: F.when(m >= NONE << 40, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda q: merged(s, m, q))))
 
-    pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: table.rank(x, F.get(parts, i + 1)))
-    start = F.struct(parts.alias("ids"), F.concat(none, pairs, none).alias("ranks"))
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), start, step, lambda s: s["ids"])
+    each = F.transform(parts, lambda x, i: high(table.rank(x, F.get(parts, i + 1))).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x.cast("bigint")))
+    last = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), F.concat(F.array(front), each), step)
+    return F.transform(F.slice(last, 2, F.size(parts)), id_of)
 
 
 def pieces(text: Column, pattern: str) -> Column:

@@ -74,17 +74,23 @@ class PairTable:
                     return (low if low - start > 4000 else start), int(at[k + np.argmax(free)])
             low, width = low + width, min(4096, width * 2)
 
-    def rank(self, a: Column, b: Column) -> Column:
-        shift = F.get(F.from_json(F.lit(str(self.shift.tolist())), "array<int>"), a)
-        entry = F.get(F.from_json(F.lit(str(self.table.tolist())), "array<bigint>"), shift + b)
-        return F.when(F.shiftright(entry, 16) == a, entry.bitwiseAND(65535).cast("int")).otherwise(NONE)
+    def bound(self, f) -> Column:
+        """f(rank), where rank(a, b) looks a pair up; the literals stand in the plan once."""
+        shifts = F.from_json(F.lit(str(self.shift.tolist())), "array<int>")
+        entries = F.from_json(F.lit(str(self.table.tolist())), "array<bigint>")
+
+        def rank(shift: Column, table: Column, a: Column, b: Column) -> Column:
+            entry = F.get(table, F.get(shift, a) + b)
+            return F.when(F.shiftright(entry, 16) == a, entry.bitwiseAND(65535).cast("int")).otherwise(NONE)
+
+        return _let(shifts, lambda s: _let(entries, lambda t: f(lambda a, b: rank(s, t, a, b))))
 
 
 def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
-def merge_fold(parts: Column, table: PairTable) -> Column:
+def merge_fold(parts: Column, rank) -> Column:
     """Folds ranked merges over an array of byte ids: the leftmost pair of least rank merges first.
 
     The state is one number per token: rank of the pair it begins, place of its first byte, id, in
@@ -92,19 +98,19 @@ def merge_fold(parts: Column, table: PairTable) -> Column:
     two pairs that are new.  An entry that begins no pair stands in front.
     """
     front = F.lit(NONE << 40 | 65535).cast("bigint")
-    high = lambda rank: F.shiftleft(rank.cast("bigint"), 40)
+    high = lambda x: F.shiftleft(x.cast("bigint"), 40)
     id_of = lambda e: e.bitwiseAND(65535).cast("int")
 
     def merged(s: Column, m: Column, q: Column) -> Column:
         left, new = F.get(s, q - 2), F.shiftright(m, 40).cast("int")
-        before = high(table.rank(id_of(left), new)).bitwiseOR(left.bitwiseAND((1 << 40) - 1))
-        here = high(table.rank(new, id_of(F.get(s, q + 1)))).bitwiseOR(m.bitwiseAND(((1 << 40) - 1) ^ 65535)).bitwiseOR(new.cast("bigint"))
+        before = high(rank(id_of(left), new)).bitwiseOR(left.bitwiseAND((1 << 40) - 1))
+        here = high(rank(new, id_of(F.get(s, q + 1)))).bitwiseOR(m.bitwiseAND(((1 << 40) - 1) ^ 65535)).bitwiseOR(new.cast("bigint"))
         return F.concat(F.slice(s, 1, q - 2), F.array(before, here), F.slice(s, q + 2, F.size(s)))
 
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda m: F.when(m >= NONE << 40, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda q: merged(s, m, q))))
 
-    each = F.transform(parts, lambda x, i: high(table.rank(x, F.get(parts, i + 1))).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x.cast("bigint")))
+    each = F.transform(parts, lambda x, i: high(rank(x, F.get(parts, i + 1))).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x.cast("bigint")))
     last = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), F.concat(F.array(front), each), step)
     return F.transform(F.slice(last, 2, F.size(parts)), id_of)
 
@@ -239,7 +245,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", hel
                     yield pa.RecordBatch.from_arrays([*part.columns[:-3], placer.ids(part.column(part.num_columns - 3))], [f.name for f in final])
 
     table = PairTable(ranks)
-    folded = F.transform("_parts", lambda x: merge_fold(x, table)).alias("_folded")
+    folded = table.bound(lambda rank: F.transform("_parts", lambda x: merge_fold(x, rank))).alias("_folded")
     out = rows.mapInArrow(spell, between).select(*[f"_c{i}" for i in range(len(rest))], "_codes", "_anew", folded).mapInArrow(place, final)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], "ids")
 

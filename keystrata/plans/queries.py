@@ -12,6 +12,7 @@ from keystrata.streaming import ingest
 
 SEGMENT_ROWS = 1000  # events of one synthetic segment
 FEED_CAP = 40_000  # bytes; stands for the feed size of full segments
+WORD_BITS = 62  # segments of one bitmap word
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,6 +170,13 @@ def segment_bitmap(spark, d):
     return held.groupBy("user_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("seg").cast("int"))).alias("bitmap"))
 
 
+def segment_bitmap_words(spark, d):
+    """Bitmaps of all segments: one row per user and word of ``WORD_BITS`` segments."""
+    word, bit = F.expr(f"seg div {WORD_BITS}"), F.expr(f"cast(seg % {WORD_BITS} as int)")
+    held = _event_log(spark, d).select("user_id", "seg").distinct()
+    return held.groupBy("user_id", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bitmap"))
+
+
 def barrel_histogram(spark, d):
     per = _orders(spark, d).groupBy(routing.barrel(F.col("h")).alias("barrel")).agg(F.count("*").alias("items"))
     return per.groupBy("items").agg(F.count("*").alias("barrels"))
@@ -368,7 +376,7 @@ QUERIES = {
     "q29_zipf_draws": zipf_draws, "q30_distribution_report": distribution_report, "q31_heavy_hitters": heavy_hitters, "q32_unit_map": unit_map,
     "q33_manifest_tree": manifest_tree, "q34_overflow_moves": overflow_moves, "q35_overflow_index": overflow_index, "q36_mixed_batches": mixed_batches,
     "q37_upsert_lineitem": upsert_lineitem, "q38_stream_latest": stream_latest, "q39_point_lookup": point_lookup, "q40_generator_draws": generator_draws,
-    "q41_staged_read": staged_read,
+    "q41_staged_read": staged_read, "q42_segment_bitmap_words": segment_bitmap_words,
 }
 
 def _fnv_sql() -> str:
@@ -421,5 +429,6 @@ SQL = {
     "q39_point_lookup": f"SELECT * FROM ({LATEST_EVENTS}) WHERE user_id = 7",
     "q40_generator_draws": f"SELECT event_id, CAST(1984 AS BIGINT) AS c, CAST(20 + floor(u * 1980) AS BIGINT) AS uni, CAST(floor(-ln(greatest(u, 1.1641532182693481e-10)) / 0.02995732273553991) AS BIGINT) AS expo FROM (SELECT event_id, {U_ID} AS u FROM events)",
     "q41_staged_read": _staged_sql(),
+    "q42_segment_bitmap_words": f"SELECT user_id, event_id // 1000 // {WORD_BITS} AS word, bit_or(CAST(1 AS BIGINT) << CAST(event_id // 1000 % {WORD_BITS} AS INTEGER)) AS bitmap FROM events GROUP BY 1, 2",
 }
 SQL["q08_oversize_rows"] = f"SELECT * FROM ({SQL['q07_row_volume']}) WHERE volume > {BLOCK_BYTES}"

@@ -43,6 +43,13 @@ def test_query_matches_sql(spark, duck, name):
     assert got == sorted(tuple(text(r[names.index(c)]) for c in cols) for r in cur.fetchall())
 
 
+def test_bitmap_words_cover_every_segment(spark, tmp_path):
+    e = spark.range(0, 200_000, 250).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit(1.0).alias("value"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, 62 * r.word + i) for r in QUERIES["q42_segment_bitmap_words"](spark, str(tmp_path)).collect() for i in range(62) if r.bitmap >> i & 1}
+    assert got == {(i % 7, i // 1000) for i in range(0, 200_000, 250)}
+
+
 def test_routing_matches_hashlib(spark):
     keys = [f"k{i}" for i in range(300)]
     h = routing.digest(F.col("key"))

@@ -61,6 +61,22 @@ def multi_get_misses(spark, d):
     return merge.misses(_probes(spark, d), latest_events(spark, d), "user_id")
 
 
+def _every_customer(spark, d):
+    return _read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+
+
+def multi_get_all(spark, d):
+    return merge.multi_get(_every_customer(spark, d), latest_events(spark, d), "user_id").select("user_id", "found", "event_id", "value")
+
+
+def multi_get_hits_all(spark, d):
+    return merge.hits(_every_customer(spark, d), latest_events(spark, d), "user_id")
+
+
+def multi_get_misses_all(spark, d):
+    return merge.misses(_every_customer(spark, d), latest_events(spark, d), "user_id")
+
+
 def _orders(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", routing.digest(_key("o_orderkey")).alias("h"))
 
@@ -140,11 +156,18 @@ def _bloom_keys(spark, d, barrels: int = 64):
     return _orders(spark, d).select(F.col("o_orderkey").alias("id"), (routing.barrel(h) % barrels).alias("barrel"), routing.bloom_hash(h).alias("hv"))
 
 
-def bloom_positions(spark, d):
-    k = _bloom_keys(spark, d).where("id % 10 = 0")
+def _positions(k: DataFrame) -> DataFrame:
     return k.select(F.col("id").alias("o_orderkey"), F.posexplode(bloom.positions(F.col("hv"), F.lit(1021).cast("bigint"))).alias("j", "pos"))
 
 
+def bloom_positions(spark, d):
+    return _positions(_bloom_keys(spark, d).where("id % 10 = 0"))
+
+
+def bloom_positions_all(spark, d):
+    return _positions(_bloom_keys(spark, d))
+
+
 BLOOM_KEYS = f"SELECT o_orderkey AS id, {BARREL} % 64 AS barrel, {_le(12, 19)}::HUGEINT AS hv FROM ({ORDER_HASH})"
 POS = "CAST(((hv + j * ((hv % 2147483648) * 8589934592 + hv // 2147483648)) % 18446744073709551616) % bits AS BIGINT)"
 FILTERS = f"""SELECT DISTINCT barrel, bits, {POS} AS pos FROM
@@ -220,11 +243,18 @@ def qps_report(spark, d):
     return metrics.throughput(_read(spark, d, "events").select("event_id", "ts"), "event_id", "ts", SEGMENT_ROWS).select("batch", "ops", "delta_usec", "qps")
 
 
-def fnv_scramble(spark, d):
-    k = _read(spark, d, "orders").where("o_orderkey % 5 = 0")
+def _scrambled(k: DataFrame) -> DataFrame:
     return k.select("o_orderkey", (generators.fnv1a(F.col("o_orderkey")) % F.lit(2000).cast("decimal(20,0)")).cast("bigint").alias("scrambled"))
 
 
+def fnv_scramble(spark, d):
+    return _scrambled(_read(spark, d, "orders").where("o_orderkey % 5 = 0"))
+
+
+def fnv_scramble_all(spark, d):
+    return _scrambled(_read(spark, d, "orders"))
+
+
 U_ID = "CAST(CAST('0x' || substr(sha1(CAST(event_id AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0"
 
 
@@ -377,6 +407,8 @@ QUERIES = {
     "q33_manifest_tree": manifest_tree, "q34_overflow_moves": overflow_moves, "q35_overflow_index": overflow_index, "q36_mixed_batches": mixed_batches,
     "q37_upsert_lineitem": upsert_lineitem, "q38_stream_latest": stream_latest, "q39_point_lookup": point_lookup, "q40_generator_draws": generator_draws,
     "q41_staged_read": staged_read, "q42_segment_bitmap_words": segment_bitmap_words,
+    "q43_multi_get_all": multi_get_all, "q44_multi_get_hits_all": multi_get_hits_all, "q45_multi_get_misses_all": multi_get_misses_all,
+    "q46_bloom_positions_all": bloom_positions_all, "q47_fnv_scramble_all": fnv_scramble_all,
 }
 
 def _fnv_sql() -> str:
@@ -432,3 +464,6 @@ SQL = {
     "q42_segment_bitmap_words": f"SELECT user_id, event_id // 1000 // {WORD_BITS} AS word, bit_or(CAST(1 AS BIGINT) << CAST(event_id // 1000 % {WORD_BITS} AS INTEGER)) AS bitmap FROM events GROUP BY 1, 2",
 }
 SQL["q08_oversize_rows"] = f"SELECT * FROM ({SQL['q07_row_volume']}) WHERE volume > {BLOCK_BYTES}"
+# The same over whole tables.
+for _all, _part, _cut in (("q43_multi_get_all", "q02_multi_get", " WHERE c_custkey % 3 = 0"), ("q44_multi_get_hits_all", "q03_multi_get_hits", " WHERE c_custkey % 3 = 0"), ("q45_multi_get_misses_all", "q04_multi_get_misses", " WHERE c_custkey % 3 = 0"), ("q46_bloom_positions_all", "q16_bloom_positions", " WHERE id % 10 = 0"), ("q47_fnv_scramble_all", "q28_fnv_scramble", " WHERE o_orderkey % 5 = 0")):
+    SQL[_all] = SQL[_part].replace(_cut, "")

@@ -50,6 +50,13 @@ def test_bitmap_words_cover_every_segment(spark, tmp_path):
     assert got == {(i % 7, i // 1000) for i in range(0, 200_000, 250)}
 
 
+def test_whole_tables_reach_the_operators(spark, duck):
+    n = {t: duck.execute(f"select count(*) from {t}").fetchone()[0] for t in ("customer", "orders")}
+    got = {q: QUERIES[q](spark, SF).count() for q in ("q43_multi_get_all", "q44_multi_get_hits_all", "q45_multi_get_misses_all", "q46_bloom_positions_all", "q47_fnv_scramble_all")}
+    assert got["q43_multi_get_all"] == got["q44_multi_get_hits_all"] + got["q45_multi_get_misses_all"] == n["customer"]
+    assert got["q46_bloom_positions_all"] == 11 * n["orders"] and got["q47_fnv_scramble_all"] == n["orders"]
+
+
 def test_routing_matches_hashlib(spark):
     keys = [f"k{i}" for i in range(300)]
     h = routing.digest(F.col("key"))

@@ -141,6 +141,12 @@ def compaction_output(spark, d):
     return merge.compact(old, ["user_id"], "event_id", _slot_of_user()).select("user_id", "event_id", "value", "slot")
 
 
+def compaction_output_all(spark, d):
+    """A compaction of every segment."""
+    log = _event_log(spark, d).select("user_id", "event_id", "value")
+    return merge.compact(log, ["user_id"], "event_id", _slot_of_user()).select("user_id", "event_id", "value", "slot")
+
+
 def compaction_invariant(spark, d):
     rest = _event_log(spark, d).where("seg >= 4").select("user_id", "event_id", "value")
     return merge.latest(rest.unionByName(compaction_output(spark, d).drop("slot")), ["user_id"], "event_id").select("user_id", "event_id", "value")
@@ -409,6 +415,7 @@ QUERIES = {
     "q41_staged_read": staged_read, "q42_segment_bitmap_words": segment_bitmap_words,
     "q43_multi_get_all": multi_get_all, "q44_multi_get_hits_all": multi_get_hits_all, "q45_multi_get_misses_all": multi_get_misses_all,
     "q46_bloom_positions_all": bloom_positions_all, "q47_fnv_scramble_all": fnv_scramble_all,
+    "q48_compaction_output_all": compaction_output_all,
 }
 
 def _fnv_sql() -> str:
@@ -467,3 +474,4 @@ SQL["q08_oversize_rows"] = f"SELECT * FROM ({SQL['q07_row_volume']}) WHERE volum
 # The same over whole tables.
 for _all, _part, _cut in (("q43_multi_get_all", "q02_multi_get", " WHERE c_custkey % 3 = 0"), ("q44_multi_get_hits_all", "q03_multi_get_hits", " WHERE c_custkey % 3 = 0"), ("q45_multi_get_misses_all", "q04_multi_get_misses", " WHERE c_custkey % 3 = 0"), ("q46_bloom_positions_all", "q16_bloom_positions", " WHERE id % 10 = 0"), ("q47_fnv_scramble_all", "q28_fnv_scramble", " WHERE o_orderkey % 5 = 0")):
     SQL[_all] = SQL[_part].replace(_cut, "")
+SQL["q48_compaction_output_all"] = SQL["q13_compaction_output"].replace(_LATEST_IN, LATEST_EVENTS)

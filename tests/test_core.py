@@ -50,6 +50,13 @@ def test_bitmap_words_cover_every_segment(spark, tmp_path):
     assert got == {(i % 7, i // 1000) for i in range(0, 200_000, 250)}
 
 
+def test_compaction_takes_every_segment(spark, tmp_path):
+    e = spark.range(0, 20_000).select(F.col("id").alias("event_id"), (F.col("id") / 100).cast("long").alias("user_id"), F.col("id").cast("double").alias("value"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.user_id, r.event_id) for r in QUERIES["q48_compaction_output_all"](spark, str(tmp_path)).collect())
+    assert got == [(u, 100 * u + 99) for u in range(200)]
+
+
 def test_whole_tables_reach_the_operators(spark, duck):
     n = {t: duck.execute(f"select count(*) from {t}").fetchone()[0] for t in ("customer", "orders")}
     got = {q: QUERIES[q](spark, SF).count() for q in ("q43_multi_get_all", "q44_multi_get_hits_all", "q45_multi_get_misses_all", "q46_bloom_positions_all", "q47_fnv_scramble_all")}

@@ -25,16 +25,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join the document with the smallest id stays."""
-    stays = ngram_jaccard.ngram_jaccard(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").select(*docs.columns)
+    """Of each component of the n-gram Jaccard join the document with the smallest id stays.
+
+    Documents without an id come after all others, in the order of their texts' hashes, which tell
+    them apart.
+    """
+    text_of = lambda tag: F.when(F.col("doc_id").isNull(), tag)
+    rows = ngram_jaccard.linked(docs).select("c", F.struct(F.col("doc_id").isNull(), "doc_id", text_of(F.col("tag")).alias("tag")).alias("at"))
+    least = rows.where("c is not null").groupBy("c").agg(F.min("at").alias("least"))
+    stays = rows.join(least, "c", "left").where(F.col("c").isNull() | F.col("at").eqNullSafe(F.col("least"))).select(F.col("at.doc_id").alias("_stays"), F.col("at.tag").alias("_tag")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_stays")) & text_of(F.xxhash64(F.coalesce("text", F.lit("")))).eqNullSafe(F.col("_tag"))
+    return docs.join(stays, same, "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as epochs reach it: not at all, once or twice, whole each time."""
     each = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
     plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.ceil(F.sum(each) / F.count("*")).cast("int").alias("_times"))
-    both = docs.join(plan.where("_times > 0"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_tag")))
+    both = docs.join(plan.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")))
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

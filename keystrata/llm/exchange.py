@@ -63,7 +63,8 @@ def deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, i
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups, buckets = max(least, -(-total // GROUP_BYTES)), max(least, -(-total // BUCKET_BYTES))
-    g = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col)), F.lit(groups))
+    of_text = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))  # rows without an id go apart too
+    g = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col), of_text), F.lit(groups))
     return docs.withColumn("g", g), groups, buckets
 
 

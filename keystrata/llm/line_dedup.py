@@ -22,15 +22,18 @@ LINE_BYTES = 100
 
 
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(high, low, doc_id, tag, pos) of every line whose key is long enough; halves of a 128-bit hash."""
+    """(high, low, none, doc_id, tag, pos) of every line whose key is long enough; halves of a 128-bit hash.
+
+    ``none`` is 1, and doc_id 0, for a row without an id.
+    """
     for batch in batches:
-        out: list[tuple[int, int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int, int]] = []
         for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             for pos, line in enumerate((text.as_py() or "").encode().split(b"\n")):
                 key = line.strip(BLANK).lower()  # bytes.lower() touches A-Z only
                 if len(key) >= least and (len(key) >= 4 * least or len(key.decode()) >= least):
                     h = xxhash.xxh3_128_intdigest(key)
-                    out.append((h >> 64, h & (2**64 - 1), doc, tag, pos))
+                    out.append((h >> 64, h & (2**64 - 1), int(doc is None), doc or 0, tag, pos))
             if len(out) > 50_000:
                 yield _rows(out)
                 out = []
@@ -38,9 +41,14 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
 
 def _rows(out: list) -> pa.RecordBatch:
-    high, low, doc, tag, pos = zip(*out, strict=True) if out else ((), (), (), (), ())
+    high, low, none, doc, tag, pos = zip(*out, strict=True) if out else ((), (), (), (), (), ())
     signed = [np.array(x, dtype=np.uint64).view(np.int64) for x in (high, low)]
-    return pa.RecordBatch.from_arrays([pa.array(signed[0]), pa.array(signed[1]), pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(pos, pa.int32())], ["high", "low", "doc_id", "tag", "pos"])
+    return pa.RecordBatch.from_arrays([pa.array(signed[0]), pa.array(signed[1]), pa.array(none, pa.int8()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(pos, pa.int32())], ["high", "low", "none", "doc_id", "tag", "pos"])
+
+
+def _documents(none: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """(none, doc_id) of each row."""
+    return np.stack([none.astype(np.int64), doc], axis=1)
 
 
 def _keeper(arrays: tuple, carry: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +59,7 @@ def _keeper(arrays: tuple, carry: tuple) -> tuple[np.ndarray, np.ndarray]:
     first = doc[starts].copy()
     if carry is not None and (high[0], low[0]) == carry[:2]:
         first[0] = carry[2]
-    return np.repeat(first, np.diff(np.append(starts, len(doc)))), starts
+    return np.repeat(first, np.diff(np.append(starts, len(doc))), axis=0), starts
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,12 +69,12 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        part, high, low, doc = (batch.column(i).to_numpy() for i in range(4))
-        keeper, _ = _keeper((high, low, doc), last)
+        part, high, low, none, doc = (batch.column(i).to_numpy() for i in range(5))
+        keeper, _ = _keeper((high, low, _documents(none, doc)), last)
         first = first or (int(high[0]), int(low[0]))
-        last, part = (int(high[-1]), int(low[-1]), int(keeper[-1])), int(part[0])
+        last, part = (int(high[-1]), int(low[-1]), tuple(keeper[-1].tolist())), int(part[0])
     if last:
-        yield pa.RecordBatch.from_pydict({"part": [part], "fh": [first[0]], "fl": [first[1]], "lh": [last[0]], "ll": [last[1]], "doc": [last[2]]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "fh": [first[0]], "fl": [first[1]], "lh": [last[0]], "ll": [last[1]], "none": [last[2][0]], "doc": [last[2][1]]})
 
 
 def _dropped(batches: Iterator[pa.RecordBatch], carries: dict) -> Iterator[pa.RecordBatch]:
@@ -74,13 +82,14 @@ def _dropped(batches: Iterator[pa.RecordBatch], carries: dict) -> Iterator[pa.Re
     for batch in batches:
         if not batch.num_rows:
             continue
-        part, high, low, doc, tag, pos = (batch.column(i).to_numpy() for i in range(6))
+        part, high, low, none, doc, tag, pos = (batch.column(i).to_numpy() for i in range(7))
+        own = _documents(none, doc)
         if not begun:
             last, begun = carries.get(int(part[0])), True
-        keeper, _ = _keeper((high, low, doc), last)
-        last = (int(high[-1]), int(low[-1]), int(keeper[-1]))
-        gone = np.flatnonzero(keeper != doc)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(tag[gone]), pa.array(pos[gone])], ["doc_id", "tag", "pos"])
+        keeper, _ = _keeper((high, low, own), last)
+        last = (int(high[-1]), int(low[-1]), tuple(keeper[-1].tolist()))
+        gone = np.flatnonzero((keeper != own).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[gone], mask=none[gone] == 1), pa.array(tag[gone]), pa.array(pos[gone])], ["doc_id", "tag", "pos"])
 
 
 def _bitmap(group: pa.Table) -> pa.Table:
@@ -96,34 +105,36 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns (doc_id, tag, n_dropped, keep) for the documents that lose lines: ``keep`` is a bitmap
     of lines, least significant bit first, up to the last dropped line (later lines stay); ``tag``
-    is Spark's hash() of the text.
+    is Spark's xxhash64() of the text.
 
     A hot line is spread over many range partitions, since the range key goes on with document and
     position; the driver carries one summary row per partition across their borders.  The sorted
     keys are checkpointed, because a range partitioning can't be drawn again alike.
 
     Null or empty texts are one empty line, which never counts.  Rows that repeat an id are one
-    document and never drop each other's lines; ``tag`` tells their texts apart.  A null id is an
-    error; an empty table gives an empty result; other columns are ignored.
+    document and never drop each other's lines; ``tag`` tells their texts apart.  Rows without an id
+    are one document too, after all others.  An empty table gives an empty result; other columns are
+    ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("line_dedup: null id")).cast("long")).alias("doc_id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (LINE_BYTES * 500_000))
-    keys = rows.mapInArrow(lambda it: _lines(it, least_chars), "high long, low long, doc_id long, tag int, pos int")
-    ranged = keys.repartitionByRange(parts, "high", "low", "doc_id", "pos").sortWithinPartitions("high", "low", "doc_id", "pos").select(F.spark_partition_id().cast("long").alias("part"), "high", "low", "doc_id", "tag", "pos")
+    keys = rows.mapInArrow(lambda it: _lines(it, least_chars), "high long, low long, none byte, doc_id long, tag long, pos int")
+    order = ["high", "low", "none", "doc_id", "pos"]
+    ranged = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "high", "low", "none", "doc_id", "tag", "pos")
     checkpoint_dir(spark)
     ranged = ranged.checkpoint()
-    edges = ranged.mapInArrow(_edges, "part long, fh long, fl long, lh long, ll long, doc long").orderBy("part").collect()  # one row a partition
+    edges = ranged.mapInArrow(_edges, "part long, fh long, fl long, lh long, ll long, none long, doc long").orderBy("part").collect()  # one row a partition
     carries, run = {}, None
     for e in edges:
         same = run is not None and (e.fh, e.fl) == run[:2]
         if same:
             carries[e.part] = run
         one_key = (e.fh, e.fl) == (e.lh, e.ll)
-        run = (e.lh, e.ll, run[2] if same and one_key else e.doc)
-    gone = ranged.mapInArrow(lambda it: _dropped(it, carries), "doc_id long, tag int, pos int")
-    return gone.groupBy("doc_id", "tag").applyInArrow(_bitmap, "doc_id long, tag int, n_dropped long, keep binary")
+        run = (e.lh, e.ll, run[2] if same and one_key else (e.none, e.doc))
+    gone = ranged.mapInArrow(lambda it: _dropped(it, carries), "doc_id long, tag long, pos int")
+    return gone.groupBy("doc_id", "tag").applyInArrow(_bitmap, "doc_id long, tag long, n_dropped long, keep binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_at: int, keep_at: int) -> Iterator[pa.RecordBatch]:
@@ -151,7 +162,7 @@ def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     maps = line_dedup(docs, id_col, text_col, least_chars).withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "n_dropped": "_n", "keep": "_keep"})
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_dropped", "n_lines", "kept_text")]
-    on = (F.col(id_col).cast("long") == F.col("_id")) & (F.hash(text_col) == F.col("_tag"))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tag"))
     both = docs.join(maps, on, "left").select(*rest, F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"), text_col, "_keep")
     at = len(both.columns) - 2
     schema = T.StructType([*both.schema.fields[:at], T.StructField("n_lines", T.LongType()), T.StructField("kept_text", T.StringType())])

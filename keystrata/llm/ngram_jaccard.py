@@ -187,7 +187,8 @@ def _finish(group: pa.Table, replies: dict[int, bytes], width: int, heavy: np.nd
         ids.append(part.column("doc_id"))
     longs = pa.list_(pa.int64())
     doc = pa.chunked_array([c for col in ids for c in (col.chunks if isinstance(col, pa.ChunkedArray) else [col])], pa.int64())
-    return pa.table({"doc_id": doc, "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.binary()), "keys": pa.array(keys, longs), "shingles": pa.array(sets, longs), "sketch": pa.array(sketches, pa.binary())})
+    tags = np.array([xxhash.xxh64_intdigest(t.as_buffer() or b"", 42) for p in parts for t in p[0].column("text")], dtype=np.uint64).view(np.int64)  # as Spark's xxhash64
+    return pa.table({"doc_id": doc, "tag": pa.array(tags), "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.binary()), "keys": pa.array(keys, longs), "shingles": pa.array(sets, longs), "sketch": pa.array(sketches, pa.binary())})
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -291,23 +292,13 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return full.where(100 * F.col("i") >= THRESHOLD * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Words are lower-cased (A-Z); a set is the distinct ``width``-word shingles, or the whole
-    sequence of a shorter text.  Sets of equal content are one node.  Nodes that share a sketch key
-    are first compared with the key's hub, the node that shares most keys in all; what stays apart
-    within a key is then compared by whole-set sketches in blocks, and only pairs that those leave
-    are verified on the sets.  No link between different sets is lost, and a group of near copies
-    costs about one verified comparison each.
-
-    Null texts and texts without words link with nothing and are their own component.  Rows that
-    repeat an id are one by one nodes or copies like other rows.  A null id is an error; an empty
-    table gives an empty result; other columns are ignored.
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row per input row: doc_id, tag, n, c.  ``tag`` is xxhash64 of the text, null counting as
+    empty; ``c`` names the component and is null for texts without words.  See `ngram_jaccard`.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("ngram_jaccard: null id")).cast("long")).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Frequent shingles only set the order of blocks: any list gives the same links.
     total = docs.count()
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE_ROWS))) == 0)
@@ -319,10 +310,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda group: _request(group, width, heavy, buckets),
         _answer,
         lambda group, replies: _finish(group, replies, width, heavy, buckets),
-        "doc_id long, n long, sid binary, keys array<long>, shingles array<long>, sketch binary",
+        "doc_id long, tag long, n long, sid binary, keys array<long>, shingles array<long>, sketch binary",
     ).checkpoint()
     release(spark)  # the texts and requests
-    nodes = found.where(F.size("keys") > 0).select("sid", "n", "keys", "doc_id", "sketch").groupBy("sid").agg(F.first("n").alias("n"), F.min_by("keys", "doc_id").alias("keys"), F.first("sketch").alias("sketch")).checkpoint()
+    nodes = found.where(F.size("keys") > 0).select("sid", "n", "keys", "doc_id", "sketch").groupBy("sid").agg(F.first("n").alias("n"), F.min_by("keys", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("keys"), F.first("sketch").alias("sketch")).checkpoint()
     kept = nodes.select("sid", "n", "sketch")
     held = nodes.select("sid", "n", F.explode("keys").alias("key"))
     several = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -342,7 +333,24 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if rest.limit(1).count():
         more = _verified(rest, found).checkpoint()
         label = components(links.union(more))
-    named = found.select("doc_id", "n", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("label", "sid").alias("c"))
+    return found.select("doc_id", "tag", "n", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "tag", "n", F.coalesce("label", "sid").alias("c"))
+
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Words are lower-cased (A-Z); a set is the distinct ``width``-word shingles, or the whole
+    sequence of a shorter text.  Sets of equal content are one node.  Nodes that share a sketch key
+    are first compared with the key's hub, the node that shares most keys in all; what stays apart
+    within a key is then compared by whole-set sketches in blocks, and only pairs that those leave
+    are verified on the sets.  No link between different sets is lost, and a group of near copies
+    costs about one verified comparison each.
+
+    Null texts and texts without words link with nothing and are their own component.  Rows that
+    repeat an id, or have none, are one by one nodes or copies like other rows.  A null id comes after
+    all others: it is component_id only of rows without an id that link with no row that has one.  An
+    empty table gives an empty result; other columns are ignored.
+    """
+    named = linked(docs, id_col, text_col, width)
     least = named.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))
     return named.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 

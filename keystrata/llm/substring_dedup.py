@@ -22,9 +22,19 @@ def _ordered(group: pa.Table) -> pa.Table:
     return group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
+def _ranks(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The group's distinct ids in order, and each row's place among them; no id comes after all."""
+    none = group.column("doc_id").is_null().to_numpy()
+    ids = group.column("doc_id").fill_null(0).to_numpy()
+    known, place = np.unique(ids[~none], return_inverse=True)
+    ranks = np.full(len(ids), len(known), dtype=np.int64)
+    ranks[~none] = place
+    return known, ranks
+
+
 def _keys(group: pa.Table, width: int, buckets: int) -> tuple:
     """The group's windows, its distinct window hashes in order of bucket, document and hash."""
-    ids = group.column("doc_id").to_numpy()
+    known, ranks = _ranks(group)
     at, hashes, bucket, row, base = [], [], [], [], 0
     parts = []
     n_words = 0
@@ -43,32 +53,34 @@ def _keys(group: pa.Table, width: int, buckets: int) -> tuple:
     hashes = hashes.astype(np.uint64)
     key, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     order = np.lexsort((key, row[first], bucket[first]))
-    return ids, parts, n_words, at, row, key, first, back, order, bucket
+    return known, ranks, parts, n_words, at, row, key, first, back, order, bucket
 
 
 def _request(group: pa.Table, width: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    ids, _, _, _, row, key, first, _, order, bucket = _keys(_ordered(group), width, buckets)
-    known, which = np.unique(ids, return_inverse=True)
-    low = int(known[0])
+    known, ranks, _, _, _, row, key, first, _, order, bucket = _keys(_ordered(group), width, buckets)
+    low = int(known[0]) if len(known) else 0
     steps = np.diff(known, prepend=known[:1]).astype(np.uint64)
     b = bucket[first][order]
     cuts = np.flatnonzero(np.diff(b, prepend=-1))
     for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
         part = order[s:e]
-        per_doc = np.bincount(which[row[first[part]]], minlength=len(known)).astype(np.uint64)
+        per_doc = np.bincount(ranks[row[first[part]]], minlength=len(known) + 1).astype(np.uint64)
         yield int(b[s]), pack(key[part], per_doc, steps, np.array([low + 2**63], dtype=np.uint64))
 
 
 def _answer(requests: list[bytes]) -> list[bytes]:
     """One bit a key: some document with a smaller id than the group's first holder has it too."""
-    keys, docs, sizes = [], [], []
+    keys, counts, known, sizes = [], [], [], []
     for blob in requests:
         key, per_doc, steps, low = unpack(blob)
         ids = np.cumsum(steps.astype(np.int64)) + (int(low[0]) - 2**63)
         keys.append(key.astype(np.uint64))
-        docs.append(np.repeat(ids, per_doc))
+        counts.append(per_doc)
+        known.append(ids)
         sizes.append(len(key))
-    key, doc = np.concatenate(keys), np.concatenate(docs)
+    every = np.unique(np.concatenate(known))
+    places = [np.append(np.searchsorted(every, ids), len(every)) for ids in known]  # no id comes after all
+    key, doc = np.concatenate(keys), np.concatenate([np.repeat(p, c) for p, c in zip(places, counts, strict=True)])
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     heads = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
@@ -81,13 +93,13 @@ def _answer(requests: list[bytes]) -> list[bytes]:
 
 def _finish(group: pa.Table, replies: dict[int, bytes], width: int, buckets: int) -> pa.Table:
     group = _ordered(group)
-    ids, parts, n_words, at, row, key, first, back, order, bucket = _keys(group, width, buckets)
+    _, ranks, parts, n_words, at, row, key, first, back, order, bucket = _keys(group, width, buckets)
     flag = np.zeros(len(key), dtype=bool)
     b = bucket[first][order]
     cuts = np.flatnonzero(np.diff(b, prepend=-1))
     for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
         flag[order[s:e]] = np.unpackbits(np.frombuffer(replies[int(b[s])], np.uint8), count=e - s).astype(bool)
-    repeated = at[flag[back] | (ids[row] > ids[row[first]][back])] if len(at) else at
+    repeated = at[flag[back] | (ranks[row] > ranks[row[first]][back])] if len(at) else at
     edge = np.zeros(n_words + 1, dtype=np.int64)
     np.add.at(edge, repeated, 1)
     np.add.at(edge, repeated + width, -1)
@@ -119,10 +131,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever the size of the corpus.
 
     Null or empty texts and texts shorter than a window lose nothing.  Rows that repeat an id count
-    as one document: they never remove each other's words.  A row without an id can't be ordered
-    and is rejected by an error.  An empty table gives an empty result; other columns are ignored.
+    as one document: they never remove each other's words.  Rows without an id are one document too,
+    after all others.  An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("substring_dedup: null id")).cast("long")).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt, _, buckets = deal(rows, "doc_id", "text")
     return ask(
         dealt,

@@ -117,3 +117,27 @@ def test_jaccard_near_copies(spark, monkeypatch):
         made.append((d, " ".join(words)))
     frame = spark.createDataFrame(made, "doc_id long, text string")
     assert rows(ngram_jaccard.ngram_jaccard(frame), "doc_id", "n_shingles", "component_id") == brute.jaccard(made)
+
+
+def test_null_ids(spark):
+    """Rows without an id are one document after all others; component ids are null where no row has one."""
+    import corpus_pipeline
+
+    last = 2**63 - 1
+    alone = " ".join(f"q{i}" for i in range(40))
+    texts = [(3, P + "\nThe same long line\nend"), (None, "y " + P + "\nthe same long line\nend"), (None, alone + "\nanother long line"), (None, alone + "\nanother long line too"), (last, P), (None, None), (None, "short")]
+    frame = spark.createDataFrame([(d, t, f"s{i % 2}") for i, (d, t) in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    named = [(last + 1 if d is None else d, t) for d, t in texts]
+    back = lambda got: sorted((last + 1 if r[0] is None else r[0], *r[1:]) for r in got)
+    got = substring_dedup.substring_dedup(frame).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert back(got) == brute.substring(named)
+    got = line_dedup.apply_line_dedup(frame).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256)).collect()
+    assert back(got) == brute.lines(named)
+    # one by one: the i-th row without an id has its own number in brute force
+    single = [(last + 1 + i if d is None else d, t) for i, (d, t) in enumerate(texts)]
+    want = sorted((min(d, last + 1), n, min(c, last + 1)) for d, n, c in brute.jaccard(single))
+    assert sorted(tuple(last + 1 if x is None else x for x in r) for r in ngram_jaccard.ngram_jaccard(frame).select("doc_id", "n_shingles", "component_id").collect()) == want
+    near = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in near if r.text not in (alone + "\nanother long line", alone + "\nanother long line too")) == sorted([(0, ""), (0, "short"), (3, texts[0][1])]) and len(near) == 4
+    times = {(r.doc_id, r.tag): -(-r.taken // r.size) for r in mixing.mix(frame).collect() if r.taken}
+    assert None in {d for d, _ in times} and corpus_pipeline.mixture(spark, frame, "").count() == sum(times.values())

@@ -61,7 +61,7 @@ def template_matches(docs: DataFrame, id_col: str, text_col: str, templates: lis
     index = known.join(seen, "token", "left").select("template", "label", "n", "need", "token", F.coalesce("count", F.lit(0)).alias("freq"), (F.row_number().over(order) - 1).alias("at"))
     whole = F.collect_list("token").over(Window.partitionBy("template"))
     prefix = index.withColumn("set", whole).where(F.col("at") <= F.col("n") - F.col("need"))
-    lines = blocks.select("doc_id", "tag", F.posexplode(F.filter("blocks", lambda b: F.size(b) >= least)).alias("block", "b"))
+    lines = blocks.select("doc_id", "tag", F.posexplode(F.filter("blocks", lambda b: F.size(b) >= least)).alias("block", "b")).distinct()  # repeated rows would repeat places
     words = lines.select("doc_id", "tag", "block", "b", F.explode("b").alias("token"))
     ranked = F.broadcast(index.select("token", "freq").distinct())  # at most the templates' words
     placed = words.join(ranked, "token").select("doc_id", "tag", "block", "b", "token", F.row_number().over(Window.partitionBy("doc_id", "tag", "block").orderBy("freq", "token")).alias("place"))

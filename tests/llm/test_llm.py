@@ -141,3 +141,12 @@ def test_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in near if r.text not in (alone + "\nanother long line", alone + "\nanother long line too")) == sorted([(0, ""), (0, "short"), (3, texts[0][1])]) and len(near) == 4
     times = {(r.doc_id, r.tag): -(-r.taken // r.size) for r in mixing.mix(frame).collect() if r.taken}
     assert None in {d for d, _ in times} and corpus_pipeline.mixture(spark, frame, "").count() == sum(times.values())
+
+
+def test_license_repeated_rows(spark):
+    """Rows that repeat id and text keep the labels of one such row."""
+    row = "mozilla, gnu, cc: redistribution and use in source and binary forms, with or without modification, are permitted"
+    common = [(100 + i, "redistribution and use in source and binary forms with or without modification are") for i in range(20)]
+    frame = spark.createDataFrame([(1, row), (1, row), *[(None, row)] * 5, *common], "doc_id long, text string")
+    got = [r.labels for r in license_scan.license_scan(frame).where("doc_id is null or doc_id = 1").collect()]
+    assert got == ["bsd-3"] * 7

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keystrata.session import checkpoint_dir
+
 # A word is a run of digits, letters a-z and everything from U+0080 on.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,9 +42,14 @@ def _places(words: Column, phrase: str) -> Column:
 
 
 def template_matches(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, tag, block, label, containment) of every line that holds enough of a template.
+    """(doc_id, tag, block, label, containment) of every block that holds enough of a template.
+
+    Blocks are the lines, and windows over all words of the text, line breaks or not, from every
+    template word on and half as long again as the template; the best window of a template has a
+    null ``block``.  Only texts that hold enough words of the template somewhere have windows, so
+    their words are split once more.
 
-    Containment is the share of the template's distinct words that the line has.  Words are
+    Containment is the share of the template's distinct words that the block has.  Words are
     ordered by their frequency in the whole table, rarest first.  A line that reaches the
     threshold holds one of the template's first size - needed + 1 words (prefix filter), has
     enough template words (length filter), and enough of them at or after the first match in the
@@ -55,7 +62,12 @@ def template_matches(docs: DataFrame, id_col: str, text_col: str, templates: lis
     known = spark.createDataFrame([(i, label, len(s), -(-round(threshold * 100) * len(s) // 100), t) for i, label, s in sets for t in s], "template int, label string, n int, need int, token string")
     pattern = rf"(?i)(?<!{WORD[:-1]})(?:{'|'.join(sorted(tokens, key=len, reverse=True))})(?!{WORD[:-1]})"
     found = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.lower)))
-    blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), found.alias("blocks"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), found.alias("blocks")).withColumn("all", F.array_distinct(F.flatten("blocks")))
+    wanted = [(label, len(s), -(-round(threshold * 100) * len(s) // 100), len(text.split()) * 3 // 2, F.array(*[F.lit(t) for t in s])) for (_, label, s), (_, text) in zip(sets, templates, strict=True)]
+    able = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("all", s)) >= need, F.struct(F.lit(label).alias("label"), F.lit(n).alias("n"), F.lit(need).alias("need"), F.lit(span).alias("span"), s.alias("set"))) for label, n, need, span, s in wanted]))
+    rows = rows.withColumn("able", F.when(F.size("all") >= least, able).otherwise(F.array().cast("array<struct<label:string,n:int,need:int,span:int,set:array<string>>>")))
+    checkpoint_dir(spark)
+    blocks = rows.select("doc_id", "tag", "blocks", "able", F.when(F.size("able") > 0, F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), _low)).alias("w")).checkpoint()  # the patterns run once
     seen = blocks.select(F.explode(F.flatten("blocks")).alias("token")).groupBy("token").count()
     order = Window.partitionBy("template").orderBy(F.coalesce("count", F.lit(0)), "token")
     index = known.join(seen, "token", "left").select("template", "label", "n", "need", "token", F.coalesce("count", F.lit(0)).alias("freq"), (F.row_number().over(order) - 1).alias("at"))
@@ -68,7 +80,12 @@ def template_matches(docs: DataFrame, id_col: str, text_col: str, templates: lis
     met = placed.join(F.broadcast(prefix), "token").where((F.size("b") >= F.col("need")) & (F.size("b") - F.col("place") + 1 >= F.col("need")))
     once = met.select("doc_id", "tag", "block", "b", "template", "label", "n", "need", "set").distinct()
     common = F.size(F.array_intersect("b", "set"))
-    return once.where(common >= F.col("need")).select("doc_id", "tag", "block", "label", (common / F.col("n")).alias("containment"))
+    in_lines = once.where(common >= F.col("need")).select("doc_id", "tag", "block", "label", (common / F.col("n")).alias("containment"))
+    tried = blocks.where(F.col("w").isNotNull()).dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "w", F.explode("able").alias("t")).select("doc_id", "tag", "w", "t.*")
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_contains("set", F.element_at("w", i)))
+    held = tried.withColumn("most", F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("w", i, F.col("span")), "set")))))
+    in_windows = held.where(F.col("most") >= F.col("need")).select("doc_id", "tag", F.lit(None).cast("int").alias("block"), "label", (F.col("most") / F.col("n")).alias("containment"))
+    return in_lines.unionByName(in_windows)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

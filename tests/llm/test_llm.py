@@ -150,3 +150,20 @@ def test_license_repeated_rows(spark):
     frame = spark.createDataFrame([(1, row), (1, row), *[(None, row)] * 5, *common], "doc_id long, text string")
     got = [r.labels for r in license_scan.license_scan(frame).where("doc_id is null or doc_id = 1").collect()]
     assert got == ["bsd-3"] * 7
+
+
+def test_license_over_line_breaks(spark):
+    """Labels and score don't depend on where a notice is wrapped; words far apart are no notice."""
+    made, want = [], {}
+    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+        w = text.split()
+        far = [x + " and more words of prose between the words" * 3 for x in w if x not in ("and", "of", "the")]
+        for d, shown in ((k, " ".join(w)), (k + 100, "\n".join(w)), (k + 200, "a b\n # " + " ".join(w[: len(w) // 2]) + "\n\n # " + " ".join(w[len(w) // 2 :]).upper() + "\nc d")):
+            made.append((d, shown))
+            want[d] = label
+        made.append((k + 300, "\n".join(far)))
+    frame = spark.createDataFrame([*made, (400, "terms of the Mozilla Public\nLicense, v. 2.0"), (401, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(frame).collect()}
+    assert all(want[d] in got[d].labels.split(",") and got[d].score == 1 for d in want)
+    assert all(got[k + 100].labels == got[k + 200].labels == got[k].labels for k in range(7))
+    assert all(got[k + 300].labels == "" for k in range(7)) and got[400].labels == "" and got[401].labels == "bsd-3"

@@ -123,9 +123,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The method judges rows that pass the base rules.  Groups are language and source; groups of
     fewer than ``MIN_GROUP`` rows are pooled by language, and those that still are fewer, in one
-    group.  A row is rejected when its squared distance exceeds the chi-square quantile at 1 - 1e-7
-    on the side of the group's centre that is worse (more symbols, capitals, digits or repetition,
-    or longer words).
+    group.  A row is rejected when its squared distance exceeds the chi-square quantile at 1 - 1e-7,
+    on whatever side of the group's centre: no statistic makes up for another.
 
     Null and empty texts have no words and fail the base rules; null language or source is a value
     like any other; equal rows get equal verdicts; a null id stays null.  An empty table gives an
@@ -144,8 +143,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = stats.withColumn("small", name(F.col("lang"), F.col("source"))).join(keys, "small", "left")
     model = minimum_covariance(judged.where(~F.col("base_failed")).select("key", "x").checkpoint())
     both = judged.join(model, judged["key"] == model["k"], "left").withColumn("distance", _distance(F.col("x"), F.col("centre"), F.col("inverse")) / F.col("scale"))
-    worse = sum((F.get("x", i) - F.get("centre", i)) / float(FLOOR[i]) for i in range(N_STATS)) > 0
-    out = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > CHI2["1-1e-7"]) & worse, F.lit(False))
+    out = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CHI2["1-1e-7"], F.lit(False))
     return both.select("doc_id", *COUNTS, "base_failed", out.alias("kept"), F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), "x", "key")
 
 

@@ -167,3 +167,17 @@ def test_license_over_line_breaks(spark):
     assert all(want[d] in got[d].labels.split(",") and got[d].score == 1 for d in want)
     assert all(got[k + 100].labels == got[k + 200].labels == got[k].labels for k in range(7))
     assert all(got[k + 300].labels == "" for k in range(7)) and got[400].labels == "" and got[401].labels == "bsd-3"
+
+
+def test_rules_planted_outliers(spark):
+    """Very short words don't make up for junk: letter-spaced text goes, and so does text half of symbols."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 9)))
+    clean = [(i, " ".join(word() for _ in range(rng.randint(80, 200))) + ".") for i in range(300)]
+    letters = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    symbols = " ".join(rng.choice("#*$%&|<>") if i % 2 else rng.choice("abcdefghijklmnopqrstuvwxyz") for i in range(120))
+    frame = spark.createDataFrame([*clean, (1000, letters), (1001, symbols)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")})
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame).collect()}
+    assert not any(got[d].base_failed or got[d].kept for d in (1000, 1001)) and all(got[d].kept for d, _ in clean)

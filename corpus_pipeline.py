@@ -54,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: The classifier and the components can't be written in SQL; the tests hold run() against brute force.
+#: The classifier and the components can't be written in SQL; no test holds run() as a whole.
 ORACLE_SQL = None
 
 

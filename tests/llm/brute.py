@@ -106,6 +106,18 @@ def rules(docs):
     return sorted(out)
 
 
+def licenses(docs):
+    """Base columns: phrases whose words stand consecutively, whatever is between them."""
+    phrases = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
+    out = []
+    for d, t in docs:
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").translate(ASCII))
+        at = [(i, label) for p, label in phrases.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
+        places = [i for i, _ in at] or [-1]
+        out.append((d, len(w), len(at), min(places), max(places), ",".join(sorted({x for _, x in at}))))
+    return sorted(out)
+
+
 def bpe(docs):
     import base64
 

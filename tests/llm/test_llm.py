@@ -181,3 +181,11 @@ def test_rules_planted_outliers(spark):
     frame = spark.createDataFrame([*clean, (1000, letters), (1001, symbols)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")})
     got = {r.doc_id: r for r in quality_rules.quality_rules(frame).collect()}
     assert not any(got[d].base_failed or got[d].kept for d in (1000, 1001)) and all(got[d].kept for d, _ in clean)
+
+
+def test_license_base_columns(spark, docs):
+    more = [(50, "Under\n the MIT, license. under the mit licenses; UNDER THE MIT LICENSE"), (51, "apache--license (version) 2 and 20; cc BY-NC cc by ncé"), (52, "under the the mit license"), (53, "x\ncc\nby\nnc")]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    place = lambda c: F.coalesce(c, F.lit(-1))
+    got = rows(license_scan.license_scan(both), "doc_id", "n_words", "n_base", place("first_word"), place("last_word"), "base_labels")
+    assert got == brute.licenses(DOCS + more)

@@ -1,4 +1,4 @@
-"""Bloom filters as expressions: sizes, probe positions, build and test."""
+"""Bloom filters as expressions: sizes, probe positions, packed filters, containers and tests."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from keystrata.config import BLOOM_BITS_PER_KEY, BLOOM_PROBES
 
+LOW = 2**32 - 1
+
 
 def filter_bits(n: Column) -> Column:
     """Usable bits for n keys: 16 a key, 8 bytes at least, less the last three."""
@@ -14,23 +16,76 @@ def filter_bits(n: Column) -> Column:
 
 
 def positions(hv: Column, bits: Column) -> Column:
-    """Eleven probe positions: hv + j * rotr(hv, 31) modulo 2**64, modulo bits."""
-    dec = lambda x: F.lit(str(x)).cast("decimal(20,0)")
-    rest = hv % dec(2**31)
-    delta = (rest * dec(2**33) + ((hv - rest) / dec(2**31)).cast("decimal(20,0)")).cast("decimal(20,0)")
-    one = lambda j: F.pmod(((hv + (j.cast("decimal(2,0)") * delta).cast("decimal(22,0)")) % dec(2**64)).cast("decimal(20,0)"), bits.cast("decimal(20,0)")).cast("bigint")
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOOM_PROBES - 1)), one)
+    """Eleven probe positions: hv + j * rotr(hv, 31) modulo 2**64, modulo bits (below 2**31).
+
+    Hash and rotation are kept in 32-bit halves, so that all steps are plain integers.
+    """
+    unit = F.lit(str(2**32)).cast("decimal(20,0)")
+    low = (hv % unit).cast("bigint")
+    high = ((hv - low.cast("decimal(20,0)")) / unit).cast("bigint")
+
+    def at(h: Column, j: Column) -> Column:
+        turned = h.high * 2 + F.shiftright(h.low, 31)
+        sum_low = h.low + j * turned.bitwiseAND(LOW)
+        sum_high = (h.high + j * (h.low.bitwiseAND(2**31 - 1) * 2 + F.shiftright(turned, 32)) + F.shiftright(sum_low, 32)).bitwiseAND(LOW)
+        return ((sum_high % bits) * (F.lit(2**32) % bits) + sum_low.bitwiseAND(LOW)) % bits
+
+    halves = F.array(F.struct(high.alias("high"), low.alias("low")))
+    steps = F.sequence(F.lit(0).cast("bigint"), F.lit(BLOOM_PROBES - 1).cast("bigint"))
+    return F.get(F.transform(halves, lambda h: F.transform(steps, lambda j: at(h, j))), 0)
+
+
+def build(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, bits, words): one packed filter per box, from rows of (by, hv); bit p is in word p div 63.
+
+    Boxes are barrels, or segments and barrels.  Words are combined map-side, so a box with very
+    many keys costs its words, not its keys.
+    """
+    by = by or ["barrel"]
+    sized = keys.groupBy(*by).agg(filter_bits(F.count("*")).alias("bits"))
+    each = keys.join(sized, by).select(*by, "bits", F.explode(positions(F.col("hv"), F.col("bits"))).alias("pos"))
+    words = each.groupBy(*by, "bits", F.expr("pos div 63").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") % 63).cast("int"))).alias("word"))
+    packed = words.groupBy(*by, "bits").agg(F.map_from_entries(F.collect_list(F.struct("w", "word"))).alias("held"))
+    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.expr("(bits - 1) div 63")), lambda w: F.coalesce(F.try_element_at("held", w), F.lit(0).cast("bigint")))
+    return packed.select(*by, "bits", dense.alias("words"))
+
 
+def set_bits(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + F.bit_count(w))
 
-def build(keys: DataFrame) -> DataFrame:
-    """(barrel, bits, pos): set bits of one filter per barrel, from (barrel, hv)."""
-    sized = keys.groupBy("barrel").agg(filter_bits(F.count("*")).alias("bits"))
-    return keys.join(sized, "barrel").select("barrel", "bits", F.explode(positions(F.col("hv"), F.col("bits"))).alias("pos")).distinct()
+
+def test(hv: Column, bits: Column, words: Column) -> Column:
+    """All positions are set."""
+    bit = lambda p: F.call_function("shiftright", F.get(words, F.floor(p / 63).cast("int")), (p % 63).cast("int")).bitwiseAND(1) == 1
+    return F.forall(positions(hv, bits), bit)
 
 
 def probe(probes: DataFrame, filters: DataFrame) -> DataFrame:
-    """(id, match) of (id, barrel, hv): all positions are set; a barrel without a filter matches nothing."""
-    sized = filters.select("barrel", "bits").distinct()
-    asked = probes.join(sized, "barrel", "left").select("id", "barrel", F.explode_outer(F.array_distinct(positions(F.col("hv"), F.col("bits")))).alias("pos"))
-    hit = filters.select("barrel", "pos", F.lit(1).alias("one"))
-    return asked.join(hit, ["barrel", "pos"], "left").groupBy("id").agg((F.count("one") == F.count("*")).alias("match"))
+    """(id, match) of (id, barrel, hv), in one join; a barrel without a filter matches nothing."""
+    match = F.coalesce(test(F.col("hv"), F.col("bits"), F.col("words")), F.lit(False))
+    return probes.join(filters, "barrel", "left").select("id", match.alias("match"))
+
+
+def container(filters: DataFrame, newer: DataFrame | None = None) -> DataFrame:
+    """(barrel, boxes): the filters (segment, barrel, bits, words) of a barrel's segments, newest first.
+
+    ``newer`` is put before what a container already holds.
+    """
+    box = F.struct("segment", "bits", "words")
+    every = filters if newer is None else filters.unionByName(newer)
+    return every.groupBy("barrel").agg(F.reverse(F.array_sort(F.collect_list(box))).alias("boxes"))
+
+
+def merge_container(held: DataFrame, newer: DataFrame) -> DataFrame:
+    """A container with the filters of newer segments in front of each barrel's boxes."""
+    added = container(newer).withColumnRenamed("boxes", "front")
+    both = held.join(added, "barrel", "full")
+    none = F.array().cast(held.schema["boxes"].dataType)
+    return both.select("barrel", F.concat(F.coalesce("front", none), F.coalesce("boxes", none)).alias("boxes"))
+
+
+def match_segments(probes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(id, segments) of (id, barrel, hv): the segments whose filters match, newest first; others need not be read."""
+    hit = F.filter("boxes", lambda b: test(F.col("hv"), b.bits, b.words))
+    none = F.array().cast("array<bigint>")
+    return probes.join(boxes, "barrel", "left").select("id", F.coalesce(F.transform(hit, lambda b: b.segment), none).alias("segments"))

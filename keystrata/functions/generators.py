@@ -75,12 +75,17 @@ def scrambled_zipfian(u: Column, low: int, high: int) -> Column:
     return (F.lit(low) + (fnv1a(zipfian(u, low, high)) % F.lit(high - low).cast("decimal(20,0)")).cast("bigint")).cast("bigint")
 
 
-def by_name(name: str | None):
-    """Generator by a prefix of its name: (u, low, high) -> column; uniform when unknown."""
+def by_name(name: str | None, number: Column | None = None):
+    """Generator by a prefix of its name: (u, low, high) -> column; uniform when unknown.
+
+    A counter counts from ``low`` by ``number``, a column that numbers the rows from 0.
+    """
     if name == "":
         raise ValueError("empty generator name")
     known = {"constant": lambda u, a, b: constant(a), "counter": None, "exponential": lambda u, a, b: exponential(u, 95.0, float(b)), "zipfian": zipfian, "xzipfian": scrambled_zipfian, "uniform": uniform}
     hit = [k for k in ("counter", "exponential", "zipfian", "xzipfian", "uniform", "constant") if name and k.startswith(name)]
     if hit and hit[0] == "counter":
-        return lambda u, a, b: F.lit(a) + F.monotonically_increasing_id()
+        if number is None:
+            raise ValueError("a counter needs the rows' numbers")
+        return lambda u, a, b: F.lit(a) + number
     return known[hit[0]] if hit else uniform

@@ -66,3 +66,32 @@ def varint_length(n: Column) -> Column:
 def volume(key: Column, value: Column) -> Column:
     k, v = F.octet_length(key), F.octet_length(value)
     return (k + v + varint_length(k) + varint_length(v)).cast("bigint")
+
+
+def little_endian(n: Column) -> Column:
+    """Eight-byte little-endian key of a number."""
+    h = F.lpad(F.hex(n), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)]))
+
+
+def hex_text(n: Column) -> Column:
+    """Text key of a number: sixteen lower-case hex digits."""
+    return F.lower(F.lpad(F.hex(n), 16, "0"))
+
+
+def varint(n: Column) -> Column:
+    """Bytes of a number from 0 on: seven bits each, the least first, the high bit set on all but the last."""
+    size = F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("int")
+    seven = lambda i: F.call_function("shiftrightunsigned", n.cast("bigint"), (i * 7).cast("int")).bitwiseAND(127)
+    octet = lambda i: F.lpad(F.hex(seven(i) + F.when(i < size - 1, 128).otherwise(0)), 2, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), octet), ""))
+
+
+def varint_value(code: Column) -> Column:
+    """Number of a varint; null where it does not end within ten bytes."""
+    h = F.hex(code)
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(h) / 2).cast("int") - 1))
+    octets = F.transform(at, lambda i: F.conv(F.substring(h, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
+    last = F.array_min(F.filter(at, lambda i: F.get(octets, i) < 128))
+    total = F.aggregate(F.sequence(F.lit(0), last), F.lit(0).cast("bigint"), lambda a, i: a + F.call_function("shiftleft", F.get(octets, i).bitwiseAND(127), (i * 7).cast("int")))
+    return F.when(last < 10, total)

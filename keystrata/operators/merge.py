@@ -14,8 +14,17 @@ def latest(log: DataFrame, keys: list[str], seq: Column | str) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), s).alias("_r")).select(*keys, "_r.*")
 
 
-def multi_get(probes: DataFrame, newest: DataFrame, key: str) -> DataFrame:
-    """Every probe with ``found`` and the newest row's columns; the optimiser broadcasts by size."""
+def asked(log: DataFrame, probes: DataFrame, key: str) -> DataFrame:
+    """The versions of keys that are asked for; the optimiser broadcasts the keys by their size."""
+    return log.join(probes.select(key).distinct(), key, "left_semi")
+
+
+def multi_get(probes: DataFrame, log: DataFrame, key: str, seq: str) -> DataFrame:
+    """Every probe with ``found`` and the columns of its newest version in ``log``.
+
+    Versions of other keys go before the aggregate, so its shuffle follows the probes.
+    """
+    newest = latest(asked(log, probes, key), [key], seq)
     return probes.join(newest.withColumn("_hit", F.lit(True)), key, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.config import LATENCY_BUCKETS
+from keystrata.session import checkpoint_dir
 
 
 def ratio(a: Column, b: Column, factor: float = 1.0) -> Column:
@@ -35,14 +36,37 @@ def throughput(ops: DataFrame, op: str, ts: str, every: int) -> DataFrame:
 
 
 def distribution(values: DataFrame, value: str) -> DataFrame:
-    """Sorted value at index count * i / 100 for i = 5, 10, ..., 95, with count, least and largest.
-
-    Values are first counted, so the windows run over distinct values.
-    """
+    """Sorted value at index count * i / 100 for i = 5, 10, ..., 95, with count, least and largest."""
     h = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = h.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    run = prefix_sums(h, "v", "c")
     points = run.crossJoin(F.broadcast(run.sparkSession.range(5, 100, 5).select(F.col("id").alias("pct"))))  # nineteen rows
-    return points.where("upto > n * pct div 100").groupBy("pct").agg(F.min("v").alias("value"))
+    least = F.min("v").alias("value")
+    edges = h.agg(F.sum("c").alias("count"), F.min("v").alias("least"), F.max("v").alias("largest"))
+    return points.where("upto > n * pct div 100").groupBy("pct").agg(least).crossJoin(F.broadcast(edges))  # one row
+
+
+def prefix_sums(rows: DataFrame, order: str, amount: str, parts: int | None = None) -> DataFrame:
+    """``rows`` (with distinct ``order``) with ``upto``, the sum of ``amount`` up to a row, and ``n``, the sum of all.
+
+    Rows are range-sorted; only one sum per partition is windowed, so no task holds them all.
+    """
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(count, order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy("_part").agg(F.sum(amount).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("_part", before.alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("n"))  # one row a partition
+    inside = F.sum(amount).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn("upto", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
+def io_report(ops: DataFrame, nbytes: str, ts: str) -> DataFrame:
+    """Operations, seconds from first to last, operations a second, MiB and MiB a second."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    one = ops.agg(F.count("*").alias("ops"), ((F.max(at) - F.min(at)) / 1e6).alias("seconds"), F.sum(nbytes).alias("b"))
+    mib = F.col("b") / float(1 << 20)
+    return one.select("ops", "seconds", ratio(F.col("ops"), F.col("seconds")).alias("iops"), F.round(mib, 9).alias("mib"), ratio(mib, F.col("seconds")).alias("mib_per_sec"))
 
 
 def heavy_hitters(values: DataFrame, value: str) -> DataFrame:

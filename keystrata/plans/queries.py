@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.config import BLOCK_BYTES, COVER_PERCENT, INDEX_CAP
+from keystrata.config import BLOCK_BYTES, COVER_PERCENT, INDEX_CAP, Config
 from keystrata.functions import bloom, generators, routing
 from keystrata.operators import merge, metrics
+from keystrata.session import checkpoint_dir
+from keystrata.sources.store import Store
 from keystrata.streaming import ingest
 
 SEGMENT_ROWS = 1000  # events of one synthetic segment
@@ -40,9 +44,12 @@ EVENT_LOG = f"""SELECT event_id // 1000 AS seg, event_id, user_id, value,
   octet_length(encode(CAST(user_id AS VARCHAR))) + octet_length(encode(CAST(event_id AS VARCHAR))) + 2 AS volume FROM events"""
 
 
+def _events(spark, d):
+    return _read(spark, d, "events").select("user_id", "event_id", "value")
+
+
 def latest_events(spark, d):
-    e = _read(spark, d, "events").select("user_id", "event_id", "value")
-    return merge.latest(e, ["user_id"], "event_id").select("user_id", "event_id", "value")
+    return merge.latest(_events(spark, d), ["user_id"], "event_id").select("user_id", "event_id", "value")
 
 
 def _probes(spark, d):
@@ -50,15 +57,15 @@ def _probes(spark, d):
 
 
 def multi_get(spark, d):
-    return merge.multi_get(_probes(spark, d), latest_events(spark, d), "user_id").select("user_id", "found", "event_id", "value")
+    return merge.multi_get(_probes(spark, d), _events(spark, d), "user_id", "event_id").select("user_id", "found", "event_id", "value")
 
 
 def multi_get_hits(spark, d):
-    return merge.hits(_probes(spark, d), latest_events(spark, d), "user_id")
+    return merge.hits(_probes(spark, d), _events(spark, d), "user_id")
 
 
 def multi_get_misses(spark, d):
-    return merge.misses(_probes(spark, d), latest_events(spark, d), "user_id")
+    return merge.misses(_probes(spark, d), _events(spark, d), "user_id")
 
 
 def _every_customer(spark, d):
@@ -66,15 +73,15 @@ def _every_customer(spark, d):
 
 
 def multi_get_all(spark, d):
-    return merge.multi_get(_every_customer(spark, d), latest_events(spark, d), "user_id").select("user_id", "found", "event_id", "value")
+    return merge.multi_get(_every_customer(spark, d), _events(spark, d), "user_id", "event_id").select("user_id", "found", "event_id", "value")
 
 
 def multi_get_hits_all(spark, d):
-    return merge.hits(_every_customer(spark, d), latest_events(spark, d), "user_id")
+    return merge.hits(_every_customer(spark, d), _events(spark, d), "user_id")
 
 
 def multi_get_misses_all(spark, d):
-    return merge.misses(_every_customer(spark, d), latest_events(spark, d), "user_id")
+    return merge.misses(_every_customer(spark, d), _events(spark, d), "user_id")
 
 
 def _orders(spark, d):
@@ -185,7 +192,7 @@ def _filters(spark, d):
 
 
 def bloom_filter_bits(spark, d):
-    return _filters(spark, d).groupBy("barrel").agg(F.max("bits").alias("bits"), F.count("*").alias("set_bits"))
+    return _filters(spark, d).select("barrel", "bits", bloom.set_bits(F.col("words")).alias("set_bits"))
 
 
 def bloom_probe(spark, d):
@@ -281,7 +288,7 @@ def generator_draws(spark, d):
 
 
 def distribution_report(spark, d):
-    return metrics.distribution(_usec(spark, d), "usec")
+    return metrics.distribution(_usec(spark, d), "usec").select("pct", "value")
 
 
 def heavy_hitters(spark, d):
@@ -376,7 +383,7 @@ def staged_read(spark, d):
     n = 1_000_000_000
     phases = [("WARM", generators.uniform(u, n, 2 * n)), ("EUNI", generators.uniform(u, 1, 1500)), ("NUNI", generators.uniform(1.0 - u, n, 2 * n)), ("NZIP", generators.zipfian(u, 20, 2000))]
     probes = e.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), x.alias("k")) for p, x in phases])).alias("x")).select("x.*")
-    return merge.multi_get(probes, keys.select("k"), "k").groupBy("phase").agg(F.count("*").alias("probes"), F.sum(F.col("found").cast("bigint")).alias("hits"))
+    return merge.multi_get(probes, keys.select("k", F.lit(0).alias("seq")), "k", "seq").groupBy("phase").agg(F.count("*").alias("probes"), F.sum(F.col("found").cast("bigint")).alias("hits"))
 
 
 def _staged_sql() -> str:
@@ -401,6 +408,130 @@ def point_lookup(spark, d):
     return latest_events(spark, d).where("user_id = 7")
 
 
+def _event_store(spark, d, puts: int = 3, **config) -> Store:
+    """A store of its own, with the events put in turn."""
+    s = Store.open(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", Config(**config))
+    e = _read(spark, d, "events").select(_key("user_id").alias("key"), _key("event_id").alias("value"), F.col("event_id").alias("seq"))
+    for i in range(puts):
+        s.put(e.where(F.pmod("seq", F.lit(puts)) == i), files=s._files(1))
+    return s
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").cast("string").cast("bigint").alias("user_id"), F.col("value").cast("string").cast("bigint").alias("event_id"))
+
+
+def store_round_trip(spark, d):
+    """Every event put, two compactions, then the newest value of every key."""
+    s = _event_store(spark, d)
+    s.compact(full=True)
+    s.compact(full=True)
+    return _stored(s.latest())
+
+
+def store_multi_get(spark, d):
+    """Every customer looked up in a compacted store."""
+    s = _event_store(spark, d)
+    s.compact(full=True)
+    probes = _every_customer(spark, d).select(_key("user_id").alias("key")).withColumn("key", F.col("key").cast("binary"))
+    got = s.multi_get(probes)
+    return got.select(F.col("key").cast("string").cast("bigint").alias("user_id"), "found", F.col("value").cast("string").cast("bigint").alias("event_id"))
+
+
+def store_reopen(spark, d):
+    """Segments of a store that was compacted, vacuumed and opened again without its configuration."""
+    s = _event_store(spark, d, most_segments=3)
+    s.compact_down()
+    s.vacuum()
+    return Store.open(spark, s.path).report().groupBy("level", "path").agg(F.sum("items").alias("items"), F.sum("volume").alias("volume"))
+
+
+def engine_report(spark, d):
+    """False positives among filter tests, useful share of fetches, fetches per hit."""
+    got = bloom_probe(spark, d)
+    one = lambda present, c: F.sum(F.when(F.col("present") == present, F.col(c)).otherwise(0))
+    n = got.agg(one(True, "matches").alias("tp"), one(False, "matches").alias("fp"), (one(False, "probes") - one(False, "matches")).alias("tn"))
+    fetched = F.col("tp") + F.col("fp")
+    return n.select("tp", "fp", "tn", metrics.ratio(F.col("fp"), fetched + F.col("tn"), 100.0).alias("fp_percent"), metrics.ratio(F.col("tp"), fetched, 100.0).alias("fetch_efficiency"), metrics.ratio(fetched, F.col("tp")).alias("read_amp"))
+
+
+def lookup_cost(spark, d):
+    """Lookups of a barrel: one a row, and one more for each row that moved away."""
+    items = _moves(spark, d).groupBy("barrel").agg(F.count("*").alias("items"))
+    return items.join(overflow_moves(spark, d).select("barrel", "nr_out"), "barrel", "left").select("barrel", (F.col("items") + F.coalesce("nr_out", F.lit(0))).alias("lookups"))
+
+
+def uncovered_overflow(spark, d):
+    """Moved rows that the index must cover so that the share of direct lookups is reached."""
+    moved = overflow_moves(spark, d).agg(F.coalesce(F.sum("nr_out"), F.lit(0)).alias("moved"))
+    n = lookup_cost(spark, d).agg(F.sum("lookups").alias("lookups")).crossJoin(F.broadcast(moved))  # one row each
+    return n.select("lookups", "moved", F.greatest(F.lit(0), F.expr(f"lookups * {COVER_PERCENT} div 100 - (lookups - moved)")).alias("todo"))
+
+
+def verbose_report(spark, d):
+    """Moved rows that the index covers and those it does not, and mean reads of a lookup."""
+    covered = overflow_index(spark, d).agg(F.coalesce(F.sum("nr_out"), F.lit(0)).alias("covered"))
+    items = _moves(spark, d).agg(F.count("*").alias("items"))
+    n = uncovered_overflow(spark, d).crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(items))  # one row each
+    return n.select("items", "lookups", "covered", (F.col("moved") - F.col("covered")).alias("lost"), metrics.ratio(F.col("lookups") - F.col("covered"), F.col("items")).alias("avg_read"))
+
+
+def moved_histogram(spark, d):
+    items = _moves(spark, d).select("barrel").distinct()
+    each = items.join(overflow_moves(spark, d), "barrel", "left").select(F.coalesce("nr_out", F.lit(0)).alias("nr_out"))
+    return each.groupBy("nr_out").agg(F.count("*").alias("barrels"))
+
+
+def barrels_by_volume(spark, d):
+    """Barrels with their place by volume, least first."""
+    per = _moves(spark, d).groupBy("barrel").agg(F.sum("volume").alias("volume"))
+    return per.withColumn("place", F.row_number().over(Window.orderBy("volume", "barrel")))  # at most 8,191 barrels
+
+
+def index_by_id(spark, d):
+    """The overflow index in the order of its ids, with each entry's place."""
+    return overflow_index(spark, d).withColumn("place", F.row_number().over(Window.orderBy("barrel")))  # at most 2,048 entries
+
+
+def index_search(spark, d):
+    """Every barrel looked up in the overflow index."""
+    found = lookup_cost(spark, d).join(overflow_index(spark, d), "barrel", "left")
+    return found.select("barrel", F.col("nr_out").isNotNull().alias("found"), "nr_out")
+
+
+def free_units(spark, d):
+    """Used and free units of the unit map, and the used share."""
+    n = _read(spark, d, "orders").agg(F.count("*").alias("units"), F.count_if(F.col("o_orderstatus") == "F").alias("used"))
+    return n.select("units", "used", (F.col("units") - F.col("used")).alias("unused"), metrics.ratio(F.col("used"), F.col("units"), 100.0).alias("percent"))
+
+
+def key_encodings(spark, d):
+    """Keys as little-endian bytes, as text and as a varint, and the number the varint gives back."""
+    k = F.col("o_orderkey")
+    return _read(spark, d, "orders").select(k, F.hex(routing.little_endian(k)).alias("le"), routing.hex_text(k).alias("txt"), F.hex(routing.varint(k)).alias("varint"), routing.varint_value(routing.varint(k)).alias("back"))
+
+
+def io_report(spark, d):
+    e = _read(spark, d, "events").select("ts", routing.volume(_key("user_id"), _key("event_id")).alias("volume"))
+    return metrics.io_report(e, "volume", "ts")
+
+
+LEVEL_COUNT = 63
+
+
+def container_probe(spark, d):
+    """False positives of 63 segments' filters: customers looked up in a container built by merging."""
+    h = routing.digest(_key("user_id"))
+    e = _read(spark, d, "events").select(F.pmod(_seg("event_id"), F.lit(LEVEL_COUNT)).alias("segment"), "user_id").distinct()
+    keys = e.select("segment", (routing.barrel(h) % 64).alias("barrel"), routing.bloom_hash(h).alias("hv"))
+    filters = bloom.build(keys, ["segment", "barrel"])
+    boxes = bloom.merge_container(bloom.container(filters.where("segment < 32")), filters.where("segment >= 32"))
+    probes = _every_customer(spark, d).select(F.col("user_id").alias("id"), (routing.barrel(h) % 64).alias("barrel"), routing.bloom_hash(h).alias("hv"))
+    hits = bloom.match_segments(probes, boxes).select("id", F.explode("segments").alias("segment"))
+    true = e.withColumnRenamed("user_id", "id").withColumn("held", F.lit(1))
+    return hits.join(true, ["id", "segment"], "left").groupBy("segment").agg(F.count("*").alias("matches"), F.count("held").alias("held"))
+
+
 QUERIES = {
     "q01_latest_events": latest_events, "q02_multi_get": multi_get, "q03_multi_get_hits": multi_get_hits, "q04_multi_get_misses": multi_get_misses,
     "q05_route": route, "q06_chain_and_order": chain_and_order, "q07_row_volume": row_volume, "q08_oversize_rows": oversize_rows, "q09_segment_fill": segment_fill,
@@ -416,6 +547,11 @@ QUERIES = {
     "q43_multi_get_all": multi_get_all, "q44_multi_get_hits_all": multi_get_hits_all, "q45_multi_get_misses_all": multi_get_misses_all,
     "q46_bloom_positions_all": bloom_positions_all, "q47_fnv_scramble_all": fnv_scramble_all,
     "q48_compaction_output_all": compaction_output_all,
+    "q49_store_round_trip": store_round_trip, "q50_store_multi_get": store_multi_get, "q51_store_reopen": store_reopen,
+    "q52_engine_report": engine_report, "q53_lookup_cost": lookup_cost, "q54_uncovered_overflow": uncovered_overflow,
+    "q55_verbose_report": verbose_report, "q56_moved_histogram": moved_histogram, "q57_barrels_by_volume": barrels_by_volume,
+    "q58_index_by_id": index_by_id, "q59_index_search": index_search, "q60_free_units": free_units, "q61_key_encodings": key_encodings,
+    "q62_io_report": io_report, "q63_container_probe": container_probe,
 }
 
 def _fnv_sql() -> str:
@@ -475,3 +611,37 @@ SQL["q08_oversize_rows"] = f"SELECT * FROM ({SQL['q07_row_volume']}) WHERE volum
 for _all, _part, _cut in (("q43_multi_get_all", "q02_multi_get", " WHERE c_custkey % 3 = 0"), ("q44_multi_get_hits_all", "q03_multi_get_hits", " WHERE c_custkey % 3 = 0"), ("q45_multi_get_misses_all", "q04_multi_get_misses", " WHERE c_custkey % 3 = 0"), ("q46_bloom_positions_all", "q16_bloom_positions", " WHERE id % 10 = 0"), ("q47_fnv_scramble_all", "q28_fnv_scramble", " WHERE o_orderkey % 5 = 0")):
     SQL[_all] = SQL[_part].replace(_cut, "")
 SQL["q48_compaction_output_all"] = SQL["q13_compaction_output"].replace(_LATEST_IN, LATEST_EVENTS)
+
+_USER = "sha1(CAST(user_id AS VARCHAR))"
+_LAST = "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id"
+SQL["q49_store_round_trip"] = _LAST
+SQL["q50_store_multi_get"] = f"SELECT c_custkey AS user_id, l.user_id IS NOT NULL AS found, l.event_id FROM customer LEFT JOIN ({_LAST}) l ON c_custkey = l.user_id"
+SQL["q51_store_reopen"] = f"""SELECT 1 AS level, CAST({_le(0, 1, _USER)} % 8 AS VARCHAR) AS path, count(*) AS items,
+  CAST(sum(octet_length(encode(CAST(user_id AS VARCHAR))) + octet_length(encode(CAST(event_id AS VARCHAR))) + 2) AS BIGINT) AS volume FROM ({_LAST}) GROUP BY 2"""
+SQL["q52_engine_report"] = f"""WITH p AS ({SQL['q18_bloom_probe']}), n AS (SELECT CAST(sum(CASE WHEN present THEN matches ELSE 0 END) AS BIGINT) AS tp,
+  CAST(sum(CASE WHEN present THEN 0 ELSE matches END) AS BIGINT) AS fp, CAST(sum(CASE WHEN present THEN 0 ELSE probes - matches END) AS BIGINT) AS tn FROM p)
+SELECT tp, fp, tn, round(fp * 100.0::DOUBLE / nullif(fp + tp + tn, 0), 9) AS fp_percent, round(tp * 100.0::DOUBLE / nullif(tp + fp, 0), 9) AS fetch_efficiency, round((tp + fp) * 1.0::DOUBLE / nullif(tp, 0), 9) AS read_amp FROM n"""
+SQL["q53_lookup_cost"] = f"SELECT r.barrel, r.items + coalesce(nr_out, 0) AS lookups FROM (SELECT barrel, count(*) AS items FROM ({LINE_ROWS}) GROUP BY barrel) r LEFT JOIN ({MOVES}) m ON r.barrel = m.barrel"
+SQL["q54_uncovered_overflow"] = f"""SELECT lookups, moved, greatest(0, lookups * {COVER_PERCENT} // 100 - (lookups - moved)) AS todo FROM
+  (SELECT CAST(sum(lookups) AS BIGINT) AS lookups FROM ({SQL['q53_lookup_cost']})), (SELECT CAST(coalesce(sum(nr_out), 0) AS BIGINT) AS moved FROM ({MOVES}))"""
+SQL["q55_verbose_report"] = f"""SELECT items, lookups, covered, moved - covered AS lost, round((lookups - covered) * 1.0::DOUBLE / items, 9) AS avg_read FROM
+  ({SQL['q54_uncovered_overflow']}), (SELECT CAST(coalesce(sum(nr_out), 0) AS BIGINT) AS covered FROM ({INDEX})), (SELECT count(*) AS items FROM lineitem)"""
+SQL["q56_moved_histogram"] = f"SELECT nr_out, count(*) AS barrels FROM (SELECT r.barrel, coalesce(nr_out, 0) AS nr_out FROM (SELECT DISTINCT barrel FROM ({LINE_ROWS})) r LEFT JOIN ({MOVES}) m ON r.barrel = m.barrel) GROUP BY nr_out"
+SQL["q57_barrels_by_volume"] = f"SELECT barrel, volume, CAST(row_number() OVER (ORDER BY volume, barrel) AS INTEGER) AS place FROM (SELECT barrel, CAST(sum(volume) AS BIGINT) AS volume FROM ({LINE_ROWS}) GROUP BY barrel)"
+SQL["q58_index_by_id"] = f"SELECT barrel, nr_out, CAST(row_number() OVER (ORDER BY barrel) AS INTEGER) AS place FROM ({INDEX})"
+SQL["q59_index_search"] = f"SELECT r.barrel, nr_out IS NOT NULL AS found, nr_out FROM (SELECT DISTINCT barrel FROM ({LINE_ROWS})) r LEFT JOIN ({INDEX}) i ON r.barrel = i.barrel"
+SQL["q60_free_units"] = "SELECT units, used, units - used AS unused, round(used * 100.0::DOUBLE / units, 9) AS percent FROM (SELECT count(*) AS units, count(*) FILTER (o_orderstatus = 'F') AS used FROM orders)"
+_HEX = "lpad(hex(o_orderkey), 16, '0')"
+_OCTET = lambda i, more: f"lpad(hex((o_orderkey >> {7 * i}) & 127 | {128 * more}), 2, '0')"
+SQL["q61_key_encodings"] = f"""SELECT o_orderkey, {' || '.join(f'substr({_HEX}, {2 * i + 1}, 2)' for i in range(7, -1, -1))} AS le, lower({_HEX}) AS txt,
+  CASE {' '.join(f"WHEN o_orderkey < {128**k} THEN {' || '.join(_OCTET(i, i < k - 1) for i in range(k))}" for k in range(1, 9))} END AS varint, o_orderkey AS back FROM orders"""
+SQL["q62_io_report"] = f"""SELECT ops, seconds, round(ops / nullif(seconds, 0), 9) AS iops, round(b / 1048576.0::DOUBLE, 9) AS mib, round(b / 1048576.0::DOUBLE / nullif(seconds, 0), 9) AS mib_per_sec FROM
+  (SELECT count(*) AS ops, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6::DOUBLE AS seconds, sum(octet_length(encode(CAST(user_id AS VARCHAR))) + octet_length(encode(CAST(event_id AS VARCHAR))) + 2) AS b FROM events)"""
+_BOX = f"SELECT segment, user_id, CAST({BARREL.replace('(h,', '(' + _USER + ',')} % 64 AS BIGINT) AS barrel, {_le(12, 19, _USER)}::HUGEINT AS hv"
+SQL["q63_container_probe"] = f"""WITH e AS (SELECT DISTINCT event_id // 1000 % {LEVEL_COUNT} AS segment, user_id FROM events), k AS ({_BOX} FROM e),
+  s AS (SELECT segment, barrel, CAST(greatest(8, 2 * count(*)) * 8 - 3 AS BIGINT) AS bits FROM k GROUP BY 1, 2),
+  f AS (SELECT DISTINCT k.segment, k.barrel, {POS} AS pos FROM k JOIN s ON k.segment = s.segment AND k.barrel = s.barrel, range(0, 11) r(j)),
+  p AS ({_BOX} FROM (SELECT 0 AS segment, c_custkey AS user_id FROM customer)),
+  a AS (SELECT DISTINCT user_id, s.segment, p.barrel, {POS} AS pos FROM p JOIN s ON p.barrel = s.barrel, range(0, 11) r(j)),
+  m AS (SELECT a.user_id, a.segment FROM a LEFT JOIN f ON a.segment = f.segment AND a.barrel = f.barrel AND a.pos = f.pos GROUP BY 1, 2 HAVING count(f.pos) = count(*))
+SELECT m.segment, count(*) AS matches, count(e.user_id) AS held FROM m LEFT JOIN e ON m.user_id = e.user_id AND m.segment = e.segment GROUP BY 1"""

@@ -11,7 +11,8 @@ from pyspark.sql import SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where nothing is set (a local session, as in tests) a temporary folder is taken.
+    Only where nothing is set in a local session (as in tests) a temporary folder is taken; on a
+    cluster that is an error, since executors do not share the driver's folders.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,6 +21,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="keystrata-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,17 @@ from keystrata.session import checkpoint_dir
 
 
 def into_store(stream: DataFrame, store, checkpoint: str, compact_every: int = 0) -> StreamingQuery:
-    """Every micro-batch becomes one committed segment; a batch that is replayed is not put twice."""
+    """Every micro-batch becomes one committed segment; a batch that is replayed is not put twice.
+
+    Batches are known by the id that the checkpoint keeps for its query, so other streams, and one
+    that begins anew with another checkpoint, put theirs too.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        store.put(batch, batch_id=batch_id)
+        named = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        store.put(batch, batch_id=batch_id, stream=named)
         if compact_every and (batch_id + 1) % compact_every == 0:
-            store.compact()
+            store.compact_down()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -99,13 +99,14 @@ def rows_of(spark, start, n, tag):
 
 
 def test_store_round_trip(spark, tmp_path):
-    s = Store.open(spark, f"{tmp_path}/db", Config(feed_bytes=1))
+    s = Store.open(spark, f"{tmp_path}/db", Config(feed_bytes=1, most_segments=7))
     for i in range(3):
         s.put(rows_of(spark, i * 30, 30, f"v{i}-"))
     before = sorted((bytes(r.key), bytes(r.value)) for r in s.latest().collect())
     assert s.get(b"k7") == b"v2-87" and s.get(b"none") is None
     assert s.compact() and s.compact()
     again = Store.open(spark, f"{tmp_path}/db")
+    assert again.config == s.config
     assert sorted((bytes(r.key), bytes(r.value)) for r in again.latest().collect()) == before
     assert again.get(b"k7") == b"v2-87" and s.vacuum() >= 2
     assert sorted((bytes(r.key), bytes(r.value)) for r in again.latest().collect()) == before
@@ -132,4 +133,88 @@ def test_stream_into_store(spark, tmp_path):
     stream = spark.readStream.schema("key string, value string, seq bigint").option("maxFilesPerTrigger", 4).parquet(f"{tmp_path}/in")
     ingest.into_store(stream, s, f"{tmp_path}/cp", compact_every=2).awaitTermination()
     assert s.get(b"k7") == b"v2-87" and s.latest().count() == 40
-    assert s.put(rows_of(spark, 0, 1, "x"), batch_id=0) == -1
+    n = len(s.manifest()["segments"])
+    ingest.into_store(stream, s, f"{tmp_path}/cp", compact_every=2).awaitTermination()
+    assert len(s.manifest()["segments"]) == n  # nothing is new
+    ingest.into_store(stream, s, f"{tmp_path}/cp2").awaitTermination()  # another stream begins at batch 0 too
+    assert len(s.manifest()["segments"]) > n and len(s.manifest()["streams"]) == 2
+    assert s.put(rows_of(spark, 0, 1, "x"), batch_id=0, stream="one") > 0 and s.put(rows_of(spark, 0, 1, "x"), batch_id=0, stream="one") == -1
+
+
+def pairs(spark, *rows):
+    return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "key string, value string, at int")
+
+
+def test_put_order(spark, tmp_path):
+    """A put without sequence is newer than all before; of a key that comes twice the last in order counts."""
+    s = Store.open(spark, f"{tmp_path}/db")
+    s.put(pairs(spark, ("k", "old")).select("key", "value", F.lit(100).alias("seq")))
+    s.put(pairs(spark, ("k", "new")).select("key", "value"))
+    assert s.get(b"k") == b"new"
+    s.put(pairs(spark, ("k", "z"), ("k", "b"), ("j", "c"), ("k", "a")), order="at")
+    assert s.get(b"k") == b"a" and s.get(b"j") == b"c"
+    with pytest.raises(Exception, match="comes twice"):
+        s.put(pairs(spark, ("k", "x"), ("k", "y")).select("key", "value"))
+    assert s.get(b"k") == b"a"
+
+
+def test_stop_inside_publish(spark, tmp_path):
+    """A manifest that did not get its name is not there; two writers cannot publish one version."""
+    s = Store.open(spark, f"{tmp_path}/db")
+    s.put(pairs(spark, ("k", "v")).select("key", "value"))
+    (tmp_path / "db/manifest/.next-2").write_text("{half")
+    again = Store.open(spark, f"{tmp_path}/db")
+    assert again.get(b"k") == b"v"
+    m = again.manifest()
+    again.put(pairs(spark, ("k", "w")).select("key", "value"))
+    with pytest.raises(RuntimeError):
+        s._publish({**m, "version": m["version"] + 1})
+    assert s.get(b"k") == b"w"
+
+
+def test_multi_get_reads_probed_paths_only(spark, tmp_path):
+    s = Store.open(spark, f"{tmp_path}/db")
+    s.put(rows_of(spark, 0, 40, "v"))
+    s.compact(full=True)
+    path = f"{int.from_bytes(hashlib.sha1(b'k7').digest()[:2], 'little') & 7}"
+    got = s.multi_get(spark.createDataFrame([(bytearray(b"k7"),)], "key binary"))
+    assert got.first().value == b"v7" and {f.split("slot=")[1][0] for f in got.inputFiles() if "slot=" in f} == {path}
+    assert len(s.manifest()["segments"]) > 1
+
+
+def test_recursive_compaction(spark, tmp_path):
+    """Keys of one leaf go down all levels; no value changes."""
+    keys = [k for k in (f"k{i}" for i in range(20_000)) if int.from_bytes(hashlib.sha1(k.encode()).digest()[:2], "little") & 4095 == 0o1234]
+    s = Store.open(spark, f"{tmp_path}/db", Config(feed_bytes=10**9, most_segments=1))
+    for i in range(2):
+        s.put(pairs(spark, *[(k, f"{i}-{k}") for k in keys]).select("key", "value"))
+    assert s.compact_down() == 4 and {(x["level"], x["path"]) for x in s.manifest()["segments"]} == {(4, "4321")}
+    assert s.latest().count() == len(keys) and s.get(keys[0].encode()) == f"1-{keys[0]}".encode() and s.vacuum() > 0
+
+
+def test_codecs(spark):
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, 2**31, 2**62]
+    n = F.col("n")
+    rows = spark.createDataFrame([(x,) for x in numbers], "n long").select("n", routing.varint(n).alias("v"), routing.varint_value(routing.varint(n)).alias("b"), routing.little_endian(n).alias("le"), routing.hex_text(n).alias("t")).collect()
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    assert all((bytes(r.v), r.b, bytes(r.le), r.t) == (varint(r.n), r.n, r.n.to_bytes(8, "little"), f"{r.n:016x}") for r in rows)
+    broken = spark.createDataFrame([(bytearray(b"\xff" * 11),), (bytearray(b"\x80"),)], "v binary")
+    assert [r[0] for r in broken.select(routing.varint_value(F.col("v"))).collect()] == [None, None]
+
+
+def test_counter_by_name(spark):
+    got = spark.range(0, 20, 1, 4).select(generators.by_name("counter", F.col("id"))(None, 10, 0).alias("c")).collect()
+    assert sorted(r.c for r in got) == list(range(10, 30))
+
+
+def test_distribution(spark):
+    from keystrata.operators import metrics
+
+    r = metrics.distribution(spark.range(1000).select((F.col("id") * 3).alias("v")), "v").where("pct = 50").first()
+    assert (r.value, r["count"], r.least, r.largest) == (1500, 1000, 0, 2997)

@@ -7,7 +7,8 @@ documents (`slices`), so a worker's memory follows the slice and the longest sin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,31 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
+BYTE_AGAIN = np.random.Generator(np.random.PCG64(20240502)).integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)  # a second, independent hash
 _BASE = int(_RNG.integers(2**62, 2**63, dtype=np.uint64)) | 1
 _COEF = _RNG.integers(1, 2**64 - 1, (4, 64), dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = np.ones(1, dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; an idle worker would hold it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """A function on batches that gives its memory back at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over all 64 output bits."""
     h = (h ^ (h >> np.uint64(30))) * _M1
@@ -99,11 +119,11 @@ def split(texts: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
     row = np.searchsorted(off, starts, side="right") - 1
-    return Words(data, off, starts, ends, row, _hash(data, starts, ends) if hashes else None)
+    return Words(data, off, starts, ends, row, hash_spans(data, starts, ends) if hashes else None)
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-    """Polynomial (Rabin-Karp) hash of each word's bytes modulo 2**64, in blocks of words."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE, step: int = 1 << 15) -> np.ndarray:
+    """Polynomial (Rabin-Karp) hash of each word's bytes modulo 2**64, in blocks of words; no word is empty."""
     out = np.empty(len(starts), dtype=np.uint64)
     for i in range(0, len(starts), step):
         s, e = starts[i : i + step], ends[i : i + step]
@@ -111,7 +131,7 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         inside = np.arange(int(size.sum())) - np.repeat(first, size)
         byte = data[inside + np.repeat(s, size)]
-        out[i : i + step] = np.add.reduceat(_BYTE[byte] * _powers(int(size.max()))[inside], first)
+        out[i : i + step] = np.add.reduceat(table[byte] * _powers(int(size.max()))[inside], first)
     return mix(out)
 
 
@@ -140,3 +160,5 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, most_bytes: int = 1 <<
             begin, held = i, 0
         held += n
     yield batch.slice(begin)
+    if sum(size.tolist()) > most_bytes:
+        give_back()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import words as W
-from keystrata.llm.exchange import ask, deal, pack, unpack
+from keystrata.llm.exchange import ask, deal, pack, runs, unpack
 
 WIDTH = 13
 
@@ -57,15 +57,19 @@ def _keys(group: pa.Table, width: int, buckets: int) -> tuple:
 
 
 def _request(group: pa.Table, width: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Per bucket: keys in the order of their first documents, and those documents with their counts.
+
+    Only documents that have keys in the bucket are named, so a request costs its keys, however
+    many buckets there are.
+    """
     known, ranks, _, _, _, row, key, first, _, order, bucket = _keys(_ordered(group), width, buckets)
-    low = int(known[0]) if len(known) else 0
-    steps = np.diff(known, prepend=known[:1]).astype(np.uint64)
-    b = bucket[first][order]
-    cuts = np.flatnonzero(np.diff(b, prepend=-1))
-    for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
-        part = order[s:e]
-        per_doc = np.bincount(ranks[row[first[part]]], minlength=len(known) + 1).astype(np.uint64)
-        yield int(b[s]), pack(key[part], per_doc, steps, np.array([low + 2**63], dtype=np.uint64))
+    b, owner = bucket[first][order], ranks[row[first[order]]]
+    for at, s, e in runs(b):
+        heads = np.flatnonzero(np.diff(owner[s:e], prepend=-1))
+        ids = known[owner[s:e][heads][owner[s:e][heads] < len(known)]]  # no id stands last, unnamed
+        counts = np.diff(np.append(heads, e - s)).astype(np.uint64)
+        low = int(ids[0]) if len(ids) else 0
+        yield at, pack(key[order[s:e]], counts, np.diff(ids, prepend=ids[:1]).astype(np.uint64), np.array([low + 2**63], dtype=np.uint64))
 
 
 def _answer(requests: list[bytes]) -> list[bytes]:
@@ -75,11 +79,11 @@ def _answer(requests: list[bytes]) -> list[bytes]:
         key, per_doc, steps, low = unpack(blob)
         ids = np.cumsum(steps.astype(np.int64)) + (int(low[0]) - 2**63)
         keys.append(key.astype(np.uint64))
-        counts.append(per_doc)
+        counts.append(per_doc.astype(np.int64))
         known.append(ids)
         sizes.append(len(key))
     every = np.unique(np.concatenate(known))
-    places = [np.append(np.searchsorted(every, ids), len(every)) for ids in known]  # no id comes after all
+    places = [np.append(np.searchsorted(every, ids), len(every))[: len(c)] for ids, c in zip(known, counts, strict=True)]  # no id comes after all
     key, doc = np.concatenate(keys), np.concatenate([np.repeat(p, c) for p, c in zip(places, counts, strict=True)])
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
@@ -96,9 +100,8 @@ def _finish(group: pa.Table, replies: dict[int, bytes], width: int, buckets: int
     _, ranks, parts, n_words, at, row, key, first, back, order, bucket = _keys(group, width, buckets)
     flag = np.zeros(len(key), dtype=bool)
     b = bucket[first][order]
-    cuts = np.flatnonzero(np.diff(b, prepend=-1))
-    for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
-        flag[order[s:e]] = np.unpackbits(np.frombuffer(replies[int(b[s])], np.uint8), count=e - s).astype(bool)
+    for asked, s, e in runs(b):
+        flag[order[s:e]] = np.unpackbits(np.frombuffer(replies[asked], np.uint8), count=e - s).astype(bool)
     repeated = at[flag[back] | (ranks[row] > ranks[row[first]][back])] if len(at) else at
     edge = np.zeros(n_words + 1, dtype=np.int64)
     np.add.at(edge, repeated, 1)
@@ -135,7 +138,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     after all others.  An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt, _, buckets = deal(rows, "doc_id", "text")
+    dealt, buckets = deal(rows, "doc_id", "text")
     return ask(
         dealt,
         lambda group: _request(group, width, buckets),
@@ -148,3 +151,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+SQL = {
+    "op1_substring_dedup": rf"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+     g AS (SELECT doc_id, i, array_to_string(w[i : i + {WIDTH - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM w WHERE len(w) >= {WIDTH})),
+     f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+     gone AS (SELECT DISTINCT doc_id, i + j AS p FROM g JOIN f ON g.k = f.k, range(0, {WIDTH}) r(j) WHERE least < doc_id),
+     each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+     kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS t FROM each e ANTI JOIN gone ON e.doc_id = gone.doc_id AND e.p = gone.p GROUP BY e.doc_id),
+     n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+}

@@ -9,6 +9,7 @@ driver, and every word of every text goes through the fold.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.llm import words as W
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
-SLICE_PIECES = 1 << 18
-HELD_WORDS = 1 << 19  # distinct words a task holds before it starts anew
-ROW_WORDS = 1 << 10
-NONE = 1 << 20  # above every rank
+SLICE_PIECES = 1 << 17
+HELD_WORDS = 1 << 20  # distinct words a task holds before it starts anew
+TASK_BYTES = 128 << 20  # of the scan, for a task: Spark's own default; smaller splits are read together, as a task folds each of its words once
+LONG_BYTES = 512  # words above this are merged by a heap, since a fold's time grows with the square of a word
+ROW_WORDS = 1 << 8
+ROW_PIECES = 1 << 7  # pieces of a text in one row on the way to the workers, which get rows by the ten thousand
+NONE = 1 << 16  # above every rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +47,8 @@ class PairTable:
             for i in range(1, len(t)):
                 if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None:
                     rows.setdefault(left, []).append((right, r))
+        if max(ranks.values()) >= 65535:
+            raise ValueError("PairTable: ids must be below 65,535")
         self.shift = np.full(1 << 16, -NONE, np.int64)
         self.table = np.full(1 << 12, -1, np.int64)
         low = 0
@@ -77,11 +85,11 @@ class PairTable:
     def bound(self, f) -> Column:
         """f(rank), where rank(a, b) looks a pair up; the literals stand in the plan once."""
         shifts = F.from_json(F.lit(str(self.shift.tolist())), "array<int>")
-        entries = F.from_json(F.lit(str(self.table.tolist())), "array<bigint>")
+        entries = F.from_json(F.lit(str(np.where(self.table < 0, 65535 << 16, self.table).tolist())), "array<bigint>")
 
         def rank(shift: Column, table: Column, a: Column, b: Column) -> Column:
-            entry = F.get(table, F.get(shift, a) + b)
-            return F.when(F.shiftright(entry, 16) == a, entry.bitwiseAND(65535).cast("int")).otherwise(NONE)
+            """What differs from the left id leaves high bits; least() skips a place outside the table."""
+            return F.least(F.get(table, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16)), F.lit(NONE).cast("bigint"))
 
         return _let(shifts, lambda s: _let(entries, lambda t: f(lambda a, b: rank(s, t, a, b))))
 
@@ -98,7 +106,7 @@ def merge_fold(parts: Column, rank) -> Column:
     two pairs that are new.  An entry that begins no pair stands in front.
     """
     front = F.lit(NONE << 40 | 65535).cast("bigint")
-    high = lambda x: F.shiftleft(x.cast("bigint"), 40)
+    high = lambda x: F.shiftleft(x, 40)
     id_of = lambda e: e.bitwiseAND(65535).cast("int")
 
     def merged(s: Column, m: Column, q: Column) -> Column:
@@ -133,19 +141,75 @@ def _cuts(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word, in time n log n: the leftmost pair of least rank merges first."""
+    piece: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    heap = [(r, i) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if piece[i] is None or j == len(word) or ranks.get(piece[i] + piece[j]) != r:
+            continue  # one of the two has merged since
+        piece[i], piece[j], after[i] = piece[i] + piece[j], None, after[j]
+        if after[i] < len(word):
+            before[after[i]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < len(word) and (new := ranks.get(piece[x] + piece[y])) is not None:
+                heapq.heappush(heap, (new, x))
+    return [ranks[x] for x in piece if x is not None]
+
+
+class _Numbers:
+    """Numbers of words by two 64-bit hashes, in a sorted array: 20 bytes a word."""
+
+    def __init__(self):
+        self.key = np.zeros(0, np.dtype([("a", "<u8"), ("b", "<u8")]))
+        self.number = np.zeros(0, np.uint32)
+
+    def known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is known, number where it is)."""
+        at = np.searchsorted(self.key["a"], key["a"])
+        at[at == len(self.key)] = 0
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.uint32)
+        same = self.key[at] == key
+        for i in np.flatnonzero(~same & (self.key["a"][at] == key["a"])).tolist():  # two words with the same first hash
+            while at[i] + 1 < len(self.key) and self.key["a"][at[i] + 1] == key["a"][i] and not same[i]:
+                at[i] += 1
+                same[i] = self.key[at[i]] == key[i]
+        return same, self.number[at]
+
+    def add(self, key: np.ndarray) -> np.ndarray:
+        """Numbers new keys, all distinct, in their order."""
+        number = np.arange(len(self.key), len(self.key) + len(key), dtype=np.uint32)
+        order = np.argsort(key["a"], kind="stable")
+        at = np.searchsorted(self.key["a"], key["a"][order])
+        self.key, self.number = np.insert(self.key, at, key[order]), np.insert(self.number, at, number[order])
+        return number
+
+
 class _Speller:
     """Numbers the words of a task; a word's number comes with its byte ids the first time."""
 
-    def __init__(self, byte_ids: list[int], pattern: str, schema: pa.Schema, held: int):
-        self.byte_ids, self.pattern, self.schema, self.held = np.array(byte_ids, np.int32), pattern, schema, held
-        self.known: dict[str, int] = {}
-
-    def spelt(self, words: list[str], anew: bool) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(words), ROW_WORDS):
-            raw = [w.encode() for w in words[k : k + ROW_WORDS]]
-            ends = np.cumsum([0, *map(len, raw)])
-            parts = _lists(ends, pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
-            row = {"_codes": pa.nulls(1, pa.binary()), "_anew": pa.array([anew and k == 0]), "_parts": _lists(np.array([0, len(raw)]), parts)}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, schema: pa.Schema, held: int):
+        self.byte_ids, self.ranks, self.pattern, self.schema, self.held = np.array([ranks[bytes([i])] for i in range(256)], np.int32), ranks, pattern, schema, held
+        self.numbers = _Numbers()
+
+    def spelt(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, anew: bool) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(starts), ROW_WORDS):
+            s, e = starts[k : k + ROW_WORDS], ends[k : k + ROW_WORDS]
+            if (e - s).max() > LONG_BYTES:
+                spans = [data[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+                ids = [self.byte_ids[x] if len(x) <= LONG_BYTES else np.array(merge_heap(x.tobytes(), self.ranks), np.int32) for x in spans]
+                size, flat = np.array([len(x) for x in ids]), np.concatenate(ids)
+            else:
+                size = e - s
+                first = np.cumsum(size) - size
+                flat = self.byte_ids[data[np.arange(int(size.sum())) + np.repeat(s - first, size)]]
+            parts = _lists(np.concatenate([[0], np.cumsum(size)]), pa.array(flat))
+            row = {"_codes": pa.nulls(1, pa.binary()), "_anew": pa.array([anew and k == 0]), "_parts": _lists(np.array([0, len(s)]), parts)}
             yield pa.RecordBatch.from_arrays([row[f.name] if f.name in row else pa.nulls(1, f.type) for f in self.schema], schema=self.schema)
 
     def batch(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -157,61 +221,103 @@ class _Speller:
             lists = pa.array(found, pa.list_(pa.string()))
         off = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if anew := len(self.known) + len(words) > self.held and bool(self.known) and bool(words):
-            self.known = {}
-        fresh = [w for w in words if w not in self.known]
-        for w in fresh:
-            self.known[w] = len(self.known)
-        yield from self.spelt(fresh, anew)
-        number = np.array([self.known[w] for w in words], np.uint32)
-        codes = number[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(words) else number
+        data, cuts = W.raw(coded.dictionary)
+        starts, ends = cuts[:-1], cuts[1:]  # a match of the pattern is never empty
+        key = np.empty(len(starts), self.numbers.key.dtype)
+        key["a"], key["b"] = W.hash_spans(data, starts, ends), W.hash_spans(data, starts, ends, W.BYTE_AGAIN)
+        if anew := len(self.numbers.key) + len(key) > self.held and len(self.numbers.key) > 0 and len(key) > 0:
+            self.numbers = _Numbers()
+        is_known, number = self.numbers.known(key)
+        fresh = np.flatnonzero(~is_known)
+        number[fresh] = self.numbers.add(key[fresh])
+        yield from self.spelt(data, starts[fresh], ends[fresh], anew)
+        codes = number[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(key) else number
         blob = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(((off - off[0]) * 4).astype(np.int32)), pa.py_buffer(codes)])
         yield pa.RecordBatch.from_arrays([*part.columns[:-2], blob, pa.nulls(part.num_rows, pa.bool_()), pa.nulls(part.num_rows, self.schema.field("_parts").type)], schema=self.schema)
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class _Placer:
     """Takes the folded ids of words in the order of their numbers and puts them into the texts."""
 
     def __init__(self):
-        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.begin, self.n, self.m = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
 
     def learn(self, folded: pa.ListArray) -> None:
+        """Keeps the ids of more words, in buffers that double."""
         words = folded.flatten()
         size = np.diff(np.asarray(words.offsets, dtype=np.int64))
-        self.flat = np.concatenate([self.flat, words.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+        more = words.flatten().to_numpy(zero_copy_only=False)
+        self.flat, self.begin = _room(self.flat, self.n + len(more)), _room(self.begin, self.m + len(size) + 1)
+        self.flat[self.n : self.n + len(more)] = more
+        self.begin[self.m + 1 : self.m + 1 + len(size)] = self.n + np.cumsum(size)
+        self.n, self.m = self.n + len(more), self.m + len(size)
 
     def ids(self, codes: pa.BinaryArray) -> pa.ListArray:
         off = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1].astype(np.int64)
         blob = codes.buffers()[2]
         code = np.frombuffer(blob, np.uint8)[off[0] : off[-1]].copy().view(np.uint32).astype(np.int64) if blob and off[-1] > off[0] else np.zeros(0, np.int64)
-        size = (self.begin[1:] - self.begin[:-1])[code]
+        size = self.begin[code + 1] - self.begin[code]
         ends = np.concatenate([[0], np.cumsum(size)])
-        out = self.flat[np.arange(int(ends[-1])) + np.repeat(self.begin[:-1][code] - ends[:-1], size)]
+        out = self.flat[np.arange(int(ends[-1])) + np.repeat(self.begin[code] - ends[:-1], size)]
         return _lists(ends[(off - off[0]) // 4], pa.array(out, pa.int32()))
 
 
+class _Texts:
+    """Joins the ids of a text's rows, which follow each other; the first has number 0."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.row, self.held = names, None, []
+
+    def add(self, columns: list[pa.Array], number: np.ndarray, ids: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        heads, off = np.flatnonzero(number == 0), np.asarray(ids.offsets, dtype=np.int64)
+        flat = ids.values.to_numpy(zero_copy_only=False)
+        if not len(heads):
+            self.held.append(flat)
+            return
+        if self.row is not None:
+            self.held.append(flat[: off[heads[0]]])
+            yield from self.end()
+        last = int(heads[-1])
+        if len(heads) > 1:
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(heads[:-1])) for c in columns), _lists(off[heads] - off[heads[0]], pa.array(flat[off[heads[0]] : off[last]]))], self.names)
+        self.row, self.held = [c.slice(last, 1) for c in columns], [flat[off[last] :]]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.row is not None:
+            flat = np.concatenate(self.held)
+            yield pa.RecordBatch.from_arrays([*self.row, _lists(np.array([0, len(flat)]), pa.array(flat, pa.int32()))], self.names)
+            self.row, self.held = None, []
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", held: int = HELD_WORDS) -> DataFrame:
     """``docs`` with ``ids`` (array of int) in place of the text column.
 
     Each match of ``pattern`` is encoded by itself and special tokens are ordinary text.  A task
-    folds each of its distinct words once, or once more for every ``held`` others.
+    folds each of its distinct words once, or once more for every ``held`` others; scans in smaller
+    splits are read in tasks of ``TASK_BYTES``, as long as every core has one.  Words of
+    more than ``LONG_BYTES`` bytes are merged by a heap, with the same ids.
 
     Null or empty texts have no ids.  Rows are independent: repeated ids or rows and other columns,
     which are kept (but for one named ids), make no difference, and an empty table gives an empty
     result.
     """
     ranks = load_ranks(path)
-    byte_ids = [ranks[bytes([i])] for i in range(256)]
+    size = int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the scan
+    docs = docs.coalesce(min(2**30, max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    odd = text.rlike(r"\p{Cn}")
+    odd = (F.octet_length(text) > F.length(text)) & text.rlike(r"\p{Cn}")
     rest = [c for c in docs.columns if c not in (text_col, "ids")]
     plain = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)]
-    rows = docs.select(*plain, F.when(~odd, pieces(text, pattern)).otherwise(F.array().cast("array<string>")).alias("_pieces"), F.when(odd, text).alias("_odd"))
+    split = docs.select(*plain, F.when(~odd, pieces(text, pattern)).otherwise(F.array().cast("array<string>")).alias("_pieces"), F.when(odd, text).alias("_odd"))
+    some = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_pieces") - 1, F.lit(0)), F.lit(ROW_PIECES)), lambda i: F.slice("_pieces", i + 1, ROW_PIECES))
+    rows = split.select(*[f"_c{i}" for i in range(len(rest))], "_odd", F.posexplode(some).alias("_at", "_part")).select(*[f"_c{i}" for i in range(len(rest))], "_at", "_part", "_odd")
     empty = "array<array<int>>"
     kept = docs.select(*plain)
-    between = kept.select("*", F.lit(None).cast("binary").alias("_codes"), F.lit(None).cast("boolean").alias("_anew"), F.lit(None).cast(empty).alias("_parts")).schema
+    between = kept.select("*", F.lit(None).cast("int").alias("_at"), F.lit(None).cast("binary").alias("_codes"), F.lit(None).cast("boolean").alias("_anew"), F.lit(None).cast(empty).alias("_parts")).schema
     final = kept.select("*", F.lit(None).cast("array<int>").alias("ids")).schema
     for f in between.fields:  # rows of words have nothing in the other columns
         f.nullable = True
@@ -222,12 +328,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", hel
             if speller is None:
                 fields = [pa.field(f.name, f.type) for f in list(batch.schema)[:-2]]
                 more = [pa.field("_codes", pa.binary()), pa.field("_anew", pa.bool_()), pa.field("_parts", pa.list_(pa.list_(pa.int32())))]
-                speller = _Speller(byte_ids, pattern, pa.schema([*fields, *more]), held)
+                speller = _Speller(ranks, pattern, pa.schema([*fields, *more]), held)
             for at, to in _cuts(np.asarray(batch.column(batch.num_columns - 2).offsets, dtype=np.int64), SLICE_PIECES):
                 yield from speller.batch(batch.slice(at, to - at))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placer = _Placer()
+        placer, texts = _Placer(), _Texts([f.name for f in final])
         for batch in batches:
             codes, anew, folded = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
             is_words = np.asarray(folded.is_valid())
@@ -242,11 +348,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", hel
                 off = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset + s : codes.offset + e + 1].astype(np.int64)
                 for at, to in _cuts(off, 4 * SLICE_PIECES):
                     part = run.slice(at, to - at)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-3], placer.ids(part.column(part.num_columns - 3))], [f.name for f in final])
+                    yield from texts.add(part.columns[:-4], part.column(part.num_columns - 4).to_numpy(), placer.ids(part.column(part.num_columns - 3)))
+        yield from texts.end()
 
     table = PairTable(ranks)
-    folded = table.bound(lambda rank: F.transform("_parts", lambda x: merge_fold(x, rank))).alias("_folded")
-    out = rows.mapInArrow(spell, between).select(*[f"_c{i}" for i in range(len(rest))], "_codes", "_anew", folded).mapInArrow(place, final)
+    folded = table.bound(lambda rank: F.transform("_parts", lambda x: F.when(F.size(x) > LONG_BYTES, x).otherwise(merge_fold(x, rank)))).alias("_folded")
+    out = rows.mapInArrow(W.tidy(spell), between).select(*[f"_c{i}" for i in range(len(rest))], "_at", "_codes", "_anew", folded).mapInArrow(W.tidy(place), final)
+    del table
+    W.give_back()  # of the driver
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], "ids")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import words as W
-from keystrata.llm.exchange import ask, deal, pack, unpack
+from keystrata.llm.exchange import ask, bucket_of, deal, pack_sorted, runs, unpack_sorted
 from keystrata.session import checkpoint_dir, release
 
 WIDTH = 5
@@ -140,24 +140,21 @@ def _keyed(group: pa.Table, width: int, heavy: np.ndarray) -> Iterator[tuple]:
 
 
 def _group_keys(parts: list[tuple], buckets: int) -> tuple:
-    """Distinct keys of a group in order of bucket, the bucket cuts, and which are held twice."""
+    """Distinct keys of a group in order of bucket, how often it holds them, and the run of each bucket."""
     every = np.concatenate([p[4] for p in parts]) if parts else np.zeros(0, np.uint64)
     key, times = np.unique(every, return_counts=True)
-    bucket = (W.mix(key + np.uint64(5)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    key, times, bucket = key[order], times[order], bucket[order]
-    return key, times, bucket, np.flatnonzero(np.diff(bucket, prepend=-1))
+    return key, times, runs(bucket_of(key, buckets))
 
 
 def _request(group: pa.Table, width: int, heavy: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    key, _, bucket, cuts = _group_keys(list(_keyed(group, width, heavy)), buckets)
-    for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
-        yield int(bucket[s]), pack(key[s:e])
+    key, _, asked = _group_keys(list(_keyed(group, width, heavy)), buckets)
+    for bucket, s, e in asked:
+        yield bucket, pack_sorted(key[s:e])
 
 
 def _answer(requests: list[bytes]) -> list[bytes]:
     """One bit a key: another group holds it too."""
-    keys = [unpack(x)[0].astype(np.uint64) for x in requests]
+    keys = [unpack_sorted(x) for x in requests]
     _, back, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     flag, ends = times[back] > 1, np.cumsum([len(k) for k in keys])
     return [np.packbits(flag[e - len(k) : e]).tobytes() for k, e in zip(keys, ends, strict=True)]
@@ -166,10 +163,10 @@ def _answer(requests: list[bytes]) -> list[bytes]:
 def _finish(group: pa.Table, replies: dict[int, bytes], width: int, heavy: np.ndarray, buckets: int) -> pa.Table:
     """Every document's size and set digest; keys that are shared, and the set, where there are any."""
     parts = list(_keyed(_ordered(group), width, heavy))
-    key, times, bucket, cuts = _group_keys(parts, buckets)
+    key, times, asked = _group_keys(parts, buckets)
     shared = times > 1
-    for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
-        shared[s:e] |= np.unpackbits(np.frombuffer(replies[int(bucket[s])], np.uint8), count=e - s).astype(bool)
+    for bucket, s, e in asked:
+        shared[s:e] |= np.unpackbits(np.frombuffer(replies[bucket], np.uint8), count=e - s).astype(bool)
     known = np.sort(key[shared])
     ids, n, sid, keys, sets, sketches = [], [], [], [], [], []
     for part, row, h, krow, k in parts:
@@ -302,9 +299,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     # Frequent shingles only set the order of blocks: any list gives the same links.
     total = docs.count()
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE_ROWS))) == 0)
-    often = sample.mapInArrow(lambda it: _frequent(it, width), "h long").groupBy("h").count().where(F.col("count") >= max(8, HEAVY_SHARE * min(total, SAMPLE_ROWS)))
-    heavy = np.sort(np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(MOST_HEAVY).collect()], dtype=np.int64).view(np.uint64))
-    dealt, _, buckets = deal(rows, "doc_id", "text")
+    often = sample.mapInArrow(W.tidy(lambda it: _frequent(it, width)), "h long").groupBy("h").count().where(F.col("count") >= max(8, HEAVY_SHARE * min(total, SAMPLE_ROWS)))
+    heavy = np.sort(often.orderBy(F.desc("count"), "h").limit(MOST_HEAVY).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    dealt, buckets = deal(rows, "doc_id", "text")
     found = ask(
         dealt,
         lambda group: _request(group, width, heavy, buckets),
@@ -323,7 +320,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("hub")).select("key", F.col("hub.sid").alias("a"), F.col("hub.n").alias("na"))
     near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
     star = held.withColumnsRenamed({"sid": "b", "n": "nb"}).join(hubs, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct().checkpoint()
-    close = star.join(kept.toDF("a", "na", "ka"), "a").join(kept.toDF("b", "nb", "kb"), "b").mapInArrow(_close_pairs, "a binary, b binary").checkpoint()
+    close = star.join(kept.toDF("a", "na", "ka"), "a").join(kept.toDF("b", "nb", "kb"), "b").mapInArrow(W.tidy(_close_pairs), "a binary, b binary").checkpoint()
     release(spark)
     links = _verified(close, found).checkpoint()
     label = components(links)

@@ -5,45 +5,33 @@ First occurrences are streamed; what comes back is one keep bitmap per document,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keystrata.llm.words import tidy
 from keystrata.session import checkpoint_dir
 
-BLANK = b" \t\n\x0b\x0c\r"
+BLANK = " \t\n\x0b\x0c\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_CHARS = 10
-LINE_BYTES = 100
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(high, low, none, doc_id, tag, pos) of every line whose key is long enough; halves of a 128-bit hash.
+def _keys(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(high, low, none, doc_id, tag, pos) of every line whose key is long enough; two 64-bit hashes of it.
 
     ``none`` is 1, and doc_id 0, for a row without an id.
     """
-    for batch in batches:
-        out: list[tuple[int, int, int, int, int, int]] = []
-        for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            for pos, line in enumerate((text.as_py() or "").encode().split(b"\n")):
-                key = line.strip(BLANK).lower()  # bytes.lower() touches A-Z only
-                if len(key) >= least and (len(key) >= 4 * least or len(key.decode()) >= least):
-                    h = xxhash.xxh3_128_intdigest(key)
-                    out.append((h >> 64, h & (2**64 - 1), int(doc is None), doc or 0, tag, pos))
-            if len(out) > 50_000:
-                yield _rows(out)
-                out = []
-        yield _rows(out)
-
-
-def _rows(out: list) -> pa.RecordBatch:
-    high, low, none, doc, tag, pos = zip(*out, strict=True) if out else ((), (), (), (), (), ())
-    signed = [np.array(x, dtype=np.uint64).view(np.int64) for x in (high, low)]
-    return pa.RecordBatch.from_arrays([pa.array(signed[0]), pa.array(signed[1]), pa.array(none, pa.int8()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(pos, pa.int32())], ["high", "low", "none", "doc_id", "tag", "pos"])
+    key = lambda x: F.translate(F.btrim(x, F.lit(BLANK)), UPPER, LOWER)
+    doc = F.col(id_col).cast("long")
+    named = docs.select(doc.isNull().cast("byte").alias("none"), F.coalesce(doc, F.lit(0)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    long = named.select("none", "doc_id", "tag", "pos", key(F.col("line")).alias("key")).where(F.length("key") >= least)
+    return long.select(F.xxhash64("key").alias("high"), F.xxhash64(F.lit("low"), F.col("key")).alias("low"), "none", "doc_id", "tag", "pos")
 
 
 def _documents(none: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -89,15 +77,40 @@ def _dropped(batches: Iterator[pa.RecordBatch], carries: dict) -> Iterator[pa.Re
         keeper, _ = _keeper((high, low, own), last)
         last = (int(high[-1]), int(low[-1]), tuple(keeper[-1].tolist()))
         gone = np.flatnonzero((keeper != own).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[gone], mask=none[gone] == 1), pa.array(tag[gone]), pa.array(pos[gone])], ["doc_id", "tag", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(none[gone]), pa.array(doc[gone]), pa.array(tag[gone]), pa.array(pos[gone])], ["none", "doc_id", "tag", "pos"])
+
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, n_dropped, keep) of a partition sorted by none, doc_id, tag and pos; all distinct.
 
-def _bitmap(group: pa.Table) -> pa.Table:
-    """Bit *p* (least significant first) is 0 if line *p* goes; it ends with the byte of the last drop."""
-    pos = np.unique(group.column("pos").to_numpy())
-    keep = np.ones(8 * (int(pos[-1]) // 8 + 1), dtype=bool)
-    keep[pos] = False
-    return pa.table({"doc_id": group.column("doc_id").slice(0, 1), "tag": group.column("tag").slice(0, 1), "n_dropped": [len(pos)], "keep": pa.array([np.packbits(keep, bitorder="little").tobytes()], pa.binary())})
+    Bit *p* of ``keep`` (least significant first) is 0 if line *p* goes; it ends with the byte of
+    the last drop.
+    """
+    held = np.zeros((4, 0), np.int64)
+
+    def made(rows: np.ndarray) -> pa.RecordBatch:
+        none, doc, tag, pos = rows
+        head = np.ones(len(doc), bool)
+        head[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
+        starts = np.flatnonzero(head)
+        last = np.append(starts[1:], len(doc)) - 1
+        ends = np.concatenate([[0], np.cumsum(pos[last] // 8 + 1)])
+        bits = np.full(int(ends[-1]), 255, np.uint8)
+        np.bitwise_and.at(bits, np.repeat(ends[:-1], last - starts + 1) + pos // 8, ~np.left_shift(1, pos % 8).astype(np.uint8))
+        keep = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(bits)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(doc[starts], mask=none[starts] == 1), pa.array(tag[starts]), pa.array(last - starts + 1), keep], ["doc_id", "tag", "n_dropped", "keep"])
+
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])], axis=1)
+        if not rows.shape[1]:
+            continue
+        same = (rows[:3] == rows[:3, -1:]).all(axis=0)
+        cut = rows.shape[1] - int(np.argmin(same[::-1]) if not same.all() else len(same))  # the last document may go on
+        held = rows[:, cut:]
+        if cut:
+            yield made(rows[:, :cut])
+    if held.shape[1]:
+        yield made(held)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -117,13 +130,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (LINE_BYTES * 500_000))
-    keys = rows.mapInArrow(lambda it: _lines(it, least_chars), "high long, low long, none byte, doc_id long, tag long, pos int")
+    path = f"{checkpoint_dir(spark)}/line-keys-{uuid.uuid4().hex}"
+    _keys(docs, id_col, text_col, least_chars).write.parquet(path)  # drawing ranges would work them out twice
+    keys = spark.read.parquet(path)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // 500_000)
     order = ["high", "low", "none", "doc_id", "pos"]
     ranged = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "high", "low", "none", "doc_id", "tag", "pos")
-    checkpoint_dir(spark)
     ranged = ranged.checkpoint()
     edges = ranged.mapInArrow(_edges, "part long, fh long, fl long, lh long, ll long, none long, doc long").orderBy("part").collect()  # one row a partition
     carries, run = {}, None
@@ -133,8 +145,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             carries[e.part] = run
         one_key = (e.fh, e.fl) == (e.lh, e.ll)
         run = (e.lh, e.ll, run[2] if same and one_key else (e.none, e.doc))
-    gone = ranged.mapInArrow(lambda it: _dropped(it, carries), "doc_id long, tag long, pos int")
-    return gone.groupBy("doc_id", "tag").applyInArrow(_bitmap, "doc_id long, tag long, n_dropped long, keep binary")
+    gone = ranged.mapInArrow(tidy(lambda it: _dropped(it, carries)), "none byte, doc_id long, tag long, pos int").distinct()  # repeated rows repeat their drops
+    sorted_ = gone.repartition("none", "doc_id", "tag").sortWithinPartitions("none", "doc_id", "tag", "pos")
+    return sorted_.mapInArrow(tidy(_bitmaps), "doc_id long, tag long, n_dropped long, keep binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_at: int, keep_at: int) -> Iterator[pa.RecordBatch]:
@@ -143,11 +156,12 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: int, keep_at: int) -> Itera
         n, kept = [], []
         for text, keep in zip(batch.column(text_at), batch.column(keep_at).to_pylist(), strict=True):
             text = text.as_py()
-            lines = (text or "").split("\n")
-            n.append(len(lines))
             if keep is None:
+                n.append((text or "").count("\n") + 1)
                 kept.append(text)
                 continue
+            lines = (text or "").split("\n")
+            n.append(len(lines))
             bits = np.unpackbits(np.frombuffer(keep, np.uint8), bitorder="little")[: len(lines)].tolist()
             bits += [1] * (len(lines) - len(bits))
             kept.append("\n".join([x for x, k in zip(lines, bits, strict=True) if k]))
@@ -160,15 +174,27 @@ def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A row that loses nothing keeps its text, null included.
     """
-    maps = line_dedup(docs, id_col, text_col, least_chars).withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "n_dropped": "_n", "keep": "_keep"})
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_dropped", "n_lines", "kept_text")]
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tag"))
-    both = docs.join(maps, on, "left").select(*rest, F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"), text_col, "_keep")
-    at = len(both.columns) - 2
-    schema = T.StructType([*both.schema.fields[:at], T.StructField("n_lines", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return both.mapInArrow(lambda it: _cut(it, at, at + 1), schema)
+    maps = line_dedup(docs, id_col, text_col, least_chars)
+    rest = [c for c in docs.columns if c not in (text_col, "n_dropped", "n_lines", "kept_text")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_tag"))
+    both = rows.join(maps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_tag") == F.col("tag")), "left")
+    both = both.select("rest", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "text", "keep")
+    schema = T.StructType([*both.schema.fields[:2], T.StructField("n_lines", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return both.mapInArrow(tidy(lambda it: _cut(it, 2, 3)), schema).select("rest.*", "n_dropped", "n_lines", "kept_text")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL = {
+    "op2_line_dedup": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+     k AS (SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+     f AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= {LEAST_CHARS} GROUP BY key)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (least < k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (least IS NULL OR least >= k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
+"""
+}

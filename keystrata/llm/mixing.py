@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from keystrata.session import checkpoint_dir
 
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
+PART_ROWS = 500_000
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # the mix takes 3/2 of all words
 EPOCHS = 2
@@ -42,7 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     first = F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("w"), "left", "rest"))).over(whole)
     done = level.withColumn("at", first)
     share_of = F.col("at.left") * F.col("w") / (F.col("at.rest") * F.lit(down))
-    return done.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(epochs)), F.coalesce(share_of, F.lit(0.0))).alias("target"))
+    most = F.col("source_size") * F.lit(float(epochs))  # no level is found where the share asks for more than all sources give
+    return done.select("source", "source_size", F.least(most, F.coalesce(share_of, most)).alias("target"))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +89,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     result; other columns are ignored.
     """
     spark = docs.sparkSession
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), GAP), lambda x: x != "")).cast("long")
     rows = docs.select(F.col(source_col).alias("source"), words.alias("size"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"))
     rows = rows.withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))))
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("tag")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(spark)
+    path = f"{checkpoint_dir(spark)}/mix-sizes-{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # drawing ranges would count the words twice
+    rows = spark.read.parquet(path)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS)
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "source", "size", "doc_id", "tag").checkpoint()
     sums = ranged.mapInArrow(_sums, "part long, source string, words long")
     offset = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -108,3 +113,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL = {
+    "op6_mixing": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+     w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source IS NULL, source COLLATE C) - 1) % {len(WEIGHTS)} AS INTEGER) + 1] AS w FROM s),
+     o AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(w) OVER (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total FROM w),
+     f AS (SELECT *, CAST(total * {SHARE[0]} - before * {EPOCHS * SHARE[1]} AS DOUBLE) AS spare FROM o),
+     l AS (SELECT arg_min(spare / rest, source_size / w) AS level FROM f WHERE spare * w <= source_size * rest * {EPOCHS * SHARE[1]}),
+     t AS (SELECT source, source_size, least(source_size * {EPOCHS}.0::DOUBLE, coalesce(level * w / {SHARE[1]}, source_size * {EPOCHS}.0::DOUBLE)) AS target FROM f, l),
+     r AS (SELECT d.doc_id, d.size, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('{SEED}|' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST({" + ".join(f"greatest(0, least(size, budget - {e} * source_size - before))" for e in range(EPOCHS))} AS BIGINT) AS taken FROM r
+"""
+}

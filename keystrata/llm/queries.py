@@ -19,6 +19,6 @@ QUERIES = {
     "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {**exact_dedup.SQL}
+SQL = {**substring_dedup.SQL, **line_dedup.SQL, **mixing.SQL, **exact_dedup.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -15,7 +15,7 @@ from keystrata.session import checkpoint_dir
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; the model learns from labelled ones in ``docs``."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model).where(F.col("_score") >= quality_classifier.THRESHOLD).drop("_score")
+    return quality_classifier.score(docs, model).where(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,26 +24,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """(row, id, mark): every row as a struct, its id and the hash of its text."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(every, F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join the document with the smallest id stays.
 
-    Documents without an id come after all others, in the order of their texts' hashes, which tell
-    them apart.
+    Documents without an id come after all others; what shares an id is told apart by the hashes of
+    the texts, in their order.  Rows that repeat both id and text are one document.
     """
-    text_of = lambda tag: F.when(F.col("doc_id").isNull(), tag)
-    rows = ngram_jaccard.linked(docs).select("c", F.struct(F.col("doc_id").isNull(), "doc_id", text_of(F.col("tag")).alias("tag")).alias("at"))
-    least = rows.where("c is not null").groupBy("c").agg(F.min("at").alias("least"))
-    stays = rows.join(least, "c", "left").where(F.col("c").isNull() | F.col("at").eqNullSafe(F.col("least"))).select(F.col("at.doc_id").alias("_stays"), F.col("at.tag").alias("_tag")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_stays")) & text_of(F.xxhash64(F.coalesce("text", F.lit("")))).eqNullSafe(F.col("_tag"))
-    return docs.join(stays, same, "left_semi").select(*docs.columns)
+    rows = ngram_jaccard.linked(docs).select("c", F.struct(F.col("doc_id").isNull(), "doc_id", "tag").alias("at"))
+    least = rows.where("c is not null").groupBy("c").agg(F.min("at").alias("at"))
+    alone = rows.where("c is null").select("at").distinct()
+    stays = least.select("at").unionByName(alone).select(F.col("at.doc_id").alias("stays_id"), F.col("at.tag").alias("stays_mark"))
+    return _marked(docs).join(stays, F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("mark") == F.col("stays_mark")), "left_semi").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as epochs reach it: not at all, once or twice, whole each time."""
     each = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.ceil(F.sum(each) / F.count("*")).cast("int").alias("_times"))
-    both = docs.join(plan.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    named = mixing.mix(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    plan = named.groupBy(F.col("doc_id").alias("plan_id"), F.col("tag").alias("plan_mark")).agg(F.ceil(F.sum(each) / F.count("*")).cast("int").alias("times"))
+    both = _marked(docs).join(plan.where("times > 0"), F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("mark") == F.col("plan_mark")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: The classifier and the components can't be written in SQL; no test holds run() as a whole.
+#: The classifier and the components can't be written in SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 

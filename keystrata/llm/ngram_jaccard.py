@@ -188,15 +188,16 @@ def _finish(group: pa.Table, replies: dict[int, bytes], width: int, heavy: np.nd
     return pa.table({"doc_id": doc, "tag": pa.array(tags), "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.binary()), "keys": pa.array(keys, longs), "shingles": pa.array(sets, longs), "sketch": pa.array(sketches, pa.binary())})
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the least node that it reaches.
 
     Each round takes the least label of the neighbours and then the label's own label; rounds are
-    checkpointed, and the driver only sees the count of labels that changed.
+    checkpointed, and the driver only sees whether a label changed.  Labels only fall, so rounds end
+    by themselves; a chain of links may take rounds in proportion to its length.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))).distinct().checkpoint()
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
         moved = label.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
         far = moved.select(F.col("u").alias("m"), F.col("m").alias("mm"))
@@ -205,7 +206,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         label = after.select("u", F.col("m").alias("l"))
         if not changed:
             return label.select(F.col("u").alias("node"), F.col("l").alias("label"))
-    raise RuntimeError("components: labels still change")
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +332,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         label = components(links.union(more))
     return found.select("doc_id", "tag", "n", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "tag", "n", F.coalesce("label", "sid").alias("c"))
 
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 

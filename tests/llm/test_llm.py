@@ -10,6 +10,7 @@ sys.path[:0] = [os.path.dirname(__file__)]
 import brute  # noqa: E402
 
 from keystrata.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup  # noqa: E402
+from keystrata.session import checkpoint_dir  # noqa: E402
 
 P = " ".join(f"w{i}" for i in range(40))
 DOCS = [
@@ -238,6 +239,14 @@ def test_jaccard_near_copies(spark, monkeypatch):
     assert rows(ngram_jaccard.ngram_jaccard(frame), "doc_id", "n_shingles", "component_id") == brute.jaccard(made)
 
 
+def test_components_of_a_long_chain(spark):
+    checkpoint_dir(spark)
+    order = [(5 * k) % 13 for k in range(13)]  # labels fall along no direction of the chain
+    links = [*zip(order[:-1], order[1:], strict=True), (200, 201), (201, 201)]
+    got = {r.node: r.label for r in ngram_jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(13), 0), 200: 200, 201: 200}
+
+
 def test_null_ids(spark):
     """Rows without an id are one document after all others; component ids are null where no row has one."""
     import corpus_pipeline

@@ -29,20 +29,33 @@ def latency_percentiles(usec: DataFrame, per_mille: list[int]) -> DataFrame:
 
 
 def throughput(ops: DataFrame, op: str, ts: str, every: int) -> DataFrame:
-    """Per batch of ``every`` operations: ops, last time, seconds since the last batch, rate."""
+    """Per batch of ``every`` operations: ops, last time, microseconds since the last batch, rate."""
     batches = ops.groupBy(F.floor(F.col(op) / every).cast("bigint").alias("batch")).agg(F.count("*").alias("ops"), F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("until"))
-    gap = F.col("until") - F.lag("until").over(Window.orderBy("batch"))
-    return batches.withColumn("delta_usec", gap).withColumn("qps", F.round(F.try_divide(F.col("ops") * 1e6, F.col("delta_usec").cast("double")), 6))
+    ranged = _ranged(batches, "batch")
+    ends = ranged.groupBy("_part").agg(F.max_by("until", F.struct("batch")).alias("_u"))
+    before = ends.select("_part", F.lag("_u").over(Window.orderBy("_part")).alias("_before"))  # one row a partition
+    inside = Window.partitionBy("_part").orderBy("batch")
+    last = F.when(F.row_number().over(inside) == 1, F.col("_before")).otherwise(F.lag("until").over(inside))
+    rows = ranged.join(F.broadcast(before), "_part").withColumn("delta_usec", F.col("until") - last).drop("_part", "_before")
+    return rows.withColumn("qps", F.round(F.try_divide(F.col("ops") * 1e6, F.col("delta_usec").cast("double")), 6))
 
 
 def distribution(values: DataFrame, value: str) -> DataFrame:
     """Sorted value at index count * i / 100 for i = 5, 10, ..., 95, with count, least and largest."""
     h = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     run = prefix_sums(h, "v", "c")
-    points = run.crossJoin(F.broadcast(run.sparkSession.range(5, 100, 5).select(F.col("id").alias("pct"))))  # nineteen rows
-    least = F.min("v").alias("value")
+    held = F.expr("filter(sequence(5L, 95L, 5L), p -> upto > n * p div 100 and upto - c <= n * p div 100)")
+    points = run.select(F.col("v").alias("value"), F.explode(held).alias("pct"))
     edges = h.agg(F.sum("c").alias("count"), F.min("v").alias("least"), F.max("v").alias("largest"))
-    return points.where("upto > n * pct div 100").groupBy("pct").agg(least).crossJoin(F.broadcast(edges))  # one row
+    return points.select("pct", "value").crossJoin(F.broadcast(edges))  # one row
+
+
+def _ranged(rows: DataFrame, order: str, parts: int | None = None) -> DataFrame:
+    """``rows`` range-sorted by ``order``, checkpointed, with the number of their partition in ``_part``."""
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(count, order).withColumn("_part", F.spark_partition_id()).checkpoint()
 
 
 def prefix_sums(rows: DataFrame, order: str, amount: str, parts: int | None = None) -> DataFrame:
@@ -50,10 +63,7 @@ def prefix_sums(rows: DataFrame, order: str, amount: str, parts: int | None = No
 
     Rows are range-sorted; only one sum per partition is windowed, so no task holds them all.
     """
-    spark = rows.sparkSession
-    checkpoint_dir(spark)
-    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(count, order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = _ranged(rows, order, parts)
     sums = ranged.groupBy("_part").agg(F.sum(amount).alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("_part", before.alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("n"))  # one row a partition

@@ -36,7 +36,7 @@ def _le(first: int, last: int, h: str = "h") -> str:
 
 
 LATEST_EVENTS = "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
-PROBES = "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 3 = 0"
+PROBES = "SELECT c_custkey AS user_id FROM customer"
 ORDER_HASH = "SELECT o_orderkey, sha1(CAST(o_orderkey AS VARCHAR)) AS h FROM orders"
 BARREL = f"CAST(({_le(8, 11)}::HUGEINT * 64 + {_le(4, 7)}::HUGEINT) % 8191 AS BIGINT)"
 PATH = f"CAST({_le(0, 1)} % 4096 AS BIGINT)"
@@ -53,7 +53,7 @@ def latest_events(spark, d):
 
 
 def _probes(spark, d):
-    return _read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    return _read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
 
 
 def multi_get(spark, d):
@@ -68,22 +68,6 @@ def multi_get_misses(spark, d):
     return merge.misses(_probes(spark, d), _events(spark, d), "user_id")
 
 
-def _every_customer(spark, d):
-    return _read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
-
-
-def multi_get_all(spark, d):
-    return merge.multi_get(_every_customer(spark, d), _events(spark, d), "user_id", "event_id").select("user_id", "found", "event_id", "value")
-
-
-def multi_get_hits_all(spark, d):
-    return merge.hits(_every_customer(spark, d), _events(spark, d), "user_id")
-
-
-def multi_get_misses_all(spark, d):
-    return merge.misses(_every_customer(spark, d), _events(spark, d), "user_id")
-
-
 def _orders(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", routing.digest(_key("o_orderkey")).alias("h"))
 
@@ -143,20 +127,22 @@ def _slot_of_user():
     return routing.slot(routing.digest(_key("user_id")), 0)
 
 
-def compaction_output(spark, d):
-    old = _event_log(spark, d).where("seg < 4").select("user_id", "event_id", "value")
-    return merge.compact(old, ["user_id"], "event_id", _slot_of_user()).select("user_id", "event_id", "value", "slot")
+def _compacted(log: DataFrame) -> DataFrame:
+    return merge.compact(log.select("user_id", "event_id", "value"), ["user_id"], "event_id", _slot_of_user()).select("user_id", "event_id", "value", "slot")
 
 
-def compaction_output_all(spark, d):
+def compaction_output(spark, d):
     """A compaction of every segment."""
-    log = _event_log(spark, d).select("user_id", "event_id", "value")
-    return merge.compact(log, ["user_id"], "event_id", _slot_of_user()).select("user_id", "event_id", "value", "slot")
+    return _compacted(_event_log(spark, d))
 
 
 def compaction_invariant(spark, d):
-    rest = _event_log(spark, d).where("seg >= 4").select("user_id", "event_id", "value")
-    return merge.latest(rest.unionByName(compaction_output(spark, d).drop("slot")), ["user_id"], "event_id").select("user_id", "event_id", "value")
+    """Newest rows after the older half of all segments was compacted."""
+    log = _event_log(spark, d)
+    half = log.agg(F.max("seg").alias("last")).select(F.expr("last div 2").alias("half"))
+    log = log.crossJoin(F.broadcast(half))  # one row
+    rest = log.where("seg > half").select("user_id", "event_id", "value")
+    return merge.latest(rest.unionByName(_compacted(log.where("seg <= half")).drop("slot")), ["user_id"], "event_id").select("user_id", "event_id", "value")
 
 
 def version_amplification(spark, d):
@@ -169,16 +155,9 @@ def _bloom_keys(spark, d, barrels: int = 64):
     return _orders(spark, d).select(F.col("o_orderkey").alias("id"), (routing.barrel(h) % barrels).alias("barrel"), routing.bloom_hash(h).alias("hv"))
 
 
-def _positions(k: DataFrame) -> DataFrame:
-    return k.select(F.col("id").alias("o_orderkey"), F.posexplode(bloom.positions(F.col("hv"), F.lit(1021).cast("bigint"))).alias("j", "pos"))
-
-
 def bloom_positions(spark, d):
-    return _positions(_bloom_keys(spark, d).where("id % 10 = 0"))
-
-
-def bloom_positions_all(spark, d):
-    return _positions(_bloom_keys(spark, d))
+    at = bloom.positions(F.col("hv"), F.lit(1021).cast("bigint"))
+    return _bloom_keys(spark, d).select(F.col("id").alias("o_orderkey"), F.posexplode(at).alias("j", "pos"))
 
 
 BLOOM_KEYS = f"SELECT o_orderkey AS id, {BARREL} % 64 AS barrel, {_le(12, 19)}::HUGEINT AS hv FROM ({ORDER_HASH})"
@@ -202,11 +181,6 @@ def bloom_probe(spark, d):
 
 
 def segment_bitmap(spark, d):
-    held = _event_log(spark, d).where("seg < 62").select("user_id", "seg").distinct()
-    return held.groupBy("user_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("seg").cast("int"))).alias("bitmap"))
-
-
-def segment_bitmap_words(spark, d):
     """Bitmaps of all segments: one row per user and word of ``WORD_BITS`` segments."""
     word, bit = F.expr(f"seg div {WORD_BITS}"), F.expr(f"cast(seg % {WORD_BITS} as int)")
     held = _event_log(spark, d).select("user_id", "seg").distinct()
@@ -235,8 +209,12 @@ def hit_level(spark, d):
 
 
 def amplification(spark, d):
-    c = _event_log(spark, d).groupBy((F.col("seg") % 3).alias("level")).agg(F.count("*").alias("written"), F.countDistinct("user_id").alias("kept"), F.sum((F.col("value") > 1e9).cast("bigint")).alias("missed"))
-    return c.select("level", "written", "kept", metrics.ratio(F.col("written"), F.col("kept")).alias("write_amp"), metrics.ratio(F.col("written"), F.col("missed"), 100.0).alias("miss_ratio"))
+    """Per level: rows written for a key that stays, and the share of customers that are not found there."""
+    keys = _event_log(spark, d).groupBy((F.col("seg") % 3).alias("level"), "user_id").agg(F.count("*").alias("n"))
+    probes = _probes(spark, d)
+    c = keys.join(probes.withColumn("probed", F.lit(1)), "user_id", "left").groupBy("level").agg(F.sum("n").alias("written"), F.count("*").alias("kept"), F.count("probed").alias("hits"))
+    c = c.crossJoin(F.broadcast(probes.agg(F.count("*").alias("probes"))))  # one row
+    return c.select("level", "written", "kept", metrics.ratio(F.col("written"), F.col("kept")).alias("write_amp"), metrics.ratio(F.col("probes") - F.col("hits"), F.col("probes"), 100.0).alias("miss_ratio"))
 
 
 def _usec(spark, d):
@@ -256,16 +234,8 @@ def qps_report(spark, d):
     return metrics.throughput(_read(spark, d, "events").select("event_id", "ts"), "event_id", "ts", SEGMENT_ROWS).select("batch", "ops", "delta_usec", "qps")
 
 
-def _scrambled(k: DataFrame) -> DataFrame:
-    return k.select("o_orderkey", (generators.fnv1a(F.col("o_orderkey")) % F.lit(2000).cast("decimal(20,0)")).cast("bigint").alias("scrambled"))
-
-
 def fnv_scramble(spark, d):
-    return _scrambled(_read(spark, d, "orders").where("o_orderkey % 5 = 0"))
-
-
-def fnv_scramble_all(spark, d):
-    return _scrambled(_read(spark, d, "orders"))
+    return _read(spark, d, "orders").select("o_orderkey", (generators.fnv1a(F.col("o_orderkey")) % F.lit(2000).cast("decimal(20,0)")).cast("bigint").alias("scrambled"))
 
 
 U_ID = "CAST(CAST('0x' || substr(sha1(CAST(event_id AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0"
@@ -433,7 +403,7 @@ def store_multi_get(spark, d):
     """Every customer looked up in a compacted store."""
     s = _event_store(spark, d)
     s.compact(full=True)
-    probes = _every_customer(spark, d).select(_key("user_id").alias("key")).withColumn("key", F.col("key").cast("binary"))
+    probes = _probes(spark, d).select(_key("user_id").alias("key")).withColumn("key", F.col("key").cast("binary"))
     got = s.multi_get(probes)
     return got.select(F.col("key").cast("string").cast("bigint").alias("user_id"), "found", F.col("value").cast("string").cast("bigint").alias("event_id"))
 
@@ -526,7 +496,7 @@ def container_probe(spark, d):
     keys = e.select("segment", (routing.barrel(h) % 64).alias("barrel"), routing.bloom_hash(h).alias("hv"))
     filters = bloom.build(keys, ["segment", "barrel"])
     boxes = bloom.merge_container(bloom.container(filters.where("segment < 32")), filters.where("segment >= 32"))
-    probes = _every_customer(spark, d).select(F.col("user_id").alias("id"), (routing.barrel(h) % 64).alias("barrel"), routing.bloom_hash(h).alias("hv"))
+    probes = _probes(spark, d).select(F.col("user_id").alias("id"), (routing.barrel(h) % 64).alias("barrel"), routing.bloom_hash(h).alias("hv"))
     hits = bloom.match_segments(probes, boxes).select("id", F.explode("segments").alias("segment"))
     true = e.withColumnRenamed("user_id", "id").withColumn("held", F.lit(1))
     return hits.join(true, ["id", "segment"], "left").groupBy("segment").agg(F.count("*").alias("matches"), F.count("held").alias("held"))
@@ -543,10 +513,7 @@ QUERIES = {
     "q29_zipf_draws": zipf_draws, "q30_distribution_report": distribution_report, "q31_heavy_hitters": heavy_hitters, "q32_unit_map": unit_map,
     "q33_manifest_tree": manifest_tree, "q34_overflow_moves": overflow_moves, "q35_overflow_index": overflow_index, "q36_mixed_batches": mixed_batches,
     "q37_upsert_lineitem": upsert_lineitem, "q38_stream_latest": stream_latest, "q39_point_lookup": point_lookup, "q40_generator_draws": generator_draws,
-    "q41_staged_read": staged_read, "q42_segment_bitmap_words": segment_bitmap_words,
-    "q43_multi_get_all": multi_get_all, "q44_multi_get_hits_all": multi_get_hits_all, "q45_multi_get_misses_all": multi_get_misses_all,
-    "q46_bloom_positions_all": bloom_positions_all, "q47_fnv_scramble_all": fnv_scramble_all,
-    "q48_compaction_output_all": compaction_output_all,
+    "q41_staged_read": staged_read,
     "q49_store_round_trip": store_round_trip, "q50_store_multi_get": store_multi_get, "q51_store_reopen": store_reopen,
     "q52_engine_report": engine_report, "q53_lookup_cost": lookup_cost, "q54_uncovered_overflow": uncovered_overflow,
     "q55_verbose_report": verbose_report, "q56_moved_histogram": moved_histogram, "q57_barrels_by_volume": barrels_by_volume,
@@ -556,13 +523,12 @@ QUERIES = {
 
 def _fnv_sql() -> str:
     """One nested SELECT per octet keeps the running hash a column."""
-    inner = "SELECT o_orderkey, CAST(14695981039346656037 AS HUGEINT) AS a FROM orders WHERE o_orderkey % 5 = 0"
+    inner = "SELECT o_orderkey, CAST(14695981039346656037 AS HUGEINT) AS a FROM orders"
     for i in range(8):
         inner = f"SELECT o_orderkey, ((a - a % 256 + CAST(xor(CAST(a % 256 AS BIGINT), (o_orderkey >> {8 * i}) & 255) AS HUGEINT)) * 1099511628211) % 18446744073709551616 AS a FROM ({inner})"
     return f"SELECT o_orderkey, CAST(a % 2000 AS BIGINT) AS scrambled FROM ({inner})"
 
 
-_LATEST_IN = "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id // 1000 < 4 GROUP BY user_id"
 SQL = {
     "q01_latest_events": LATEST_EVENTS,
     "q02_multi_get": f"SELECT p.user_id, l.user_id IS NOT NULL AS found, event_id, value FROM ({PROBES}) p LEFT JOIN ({LATEST_EVENTS}) l ON p.user_id = l.user_id",
@@ -575,18 +541,18 @@ SQL = {
     "q10_feed_prefix": FEED,
     "q11_pick_fullest_child": f"SELECT * FROM ({FEED}) ORDER BY nr_feed DESC, node LIMIT 1",
     "q12_full_children": f"SELECT node, count(*) AS segments FROM ({PLACED}) GROUP BY node HAVING count(*) >= 20",
-    "q13_compaction_output": f"SELECT user_id, event_id, value, CAST({_le(0, 1, 'sha1(CAST(user_id AS VARCHAR))')} % 8 AS BIGINT) AS slot FROM ({_LATEST_IN})",
+    "q13_compaction_output": f"SELECT user_id, event_id, value, CAST({_le(0, 1, 'sha1(CAST(user_id AS VARCHAR))')} % 8 AS BIGINT) AS slot FROM ({LATEST_EVENTS})",
     "q14_compaction_invariant": LATEST_EVENTS,
     "q15_version_amplification": f"SELECT seg, count(*) AS stored, count(DISTINCT user_id) AS keys, round(CAST(count(*) AS DOUBLE) / count(DISTINCT user_id), 9) AS amplification FROM ({EVENT_LOG}) GROUP BY seg",
-    "q16_bloom_positions": f"SELECT id AS o_orderkey, CAST(j AS INTEGER) AS j, {POS} AS pos FROM (SELECT id, hv, 1021 AS bits FROM ({BLOOM_KEYS}) WHERE id % 10 = 0), range(0, 11) r(j)",
+    "q16_bloom_positions": f"SELECT id AS o_orderkey, CAST(j AS INTEGER) AS j, {POS} AS pos FROM (SELECT id, hv, 1021 AS bits FROM ({BLOOM_KEYS})), range(0, 11) r(j)",
     "q17_bloom_filter_bits": f"SELECT barrel, max(bits) AS bits, count(*) AS set_bits FROM ({FILTERS}) GROUP BY barrel",
     "q18_bloom_probe": f"WITH f AS ({FILTERS}), k AS ({BLOOM_KEYS}), b AS (SELECT DISTINCT barrel, bits FROM f), a AS (SELECT DISTINCT id, barrel, {POS} AS pos FROM (SELECT id, k.barrel, hv, bits FROM k JOIN b ON k.barrel = b.barrel), range(0, 11) r(j)), m AS (SELECT a.id, count(f.pos) = count(*) AS ok FROM a LEFT JOIN f ON a.barrel = f.barrel AND a.pos = f.pos GROUP BY a.id) SELECT k.id % 2 = 0 AS present, count(*) AS probes, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS matches FROM k LEFT JOIN m ON k.id = m.id GROUP BY 1",
-    "q19_segment_bitmap": "SELECT user_id, bit_or(CAST(1 AS BIGINT) << CAST(event_id // 1000 AS INTEGER)) AS bitmap FROM events WHERE event_id // 1000 < 62 GROUP BY user_id",
+    "q19_segment_bitmap": f"SELECT user_id, event_id // 1000 // {WORD_BITS} AS word, bit_or(CAST(1 AS BIGINT) << CAST(event_id // 1000 % {WORD_BITS} AS INTEGER)) AS bitmap FROM events GROUP BY 1, 2",
     "q20_barrel_histogram": f"SELECT items, count(*) AS barrels FROM (SELECT {BARREL} AS barrel, count(*) AS items FROM ({ORDER_HASH}) GROUP BY 1) GROUP BY items",
     "q21_segment_report": f"SELECT seg, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS items, count(DISTINCT user_id) AS keys, round(CAST(sum(volume) AS DOUBLE) * 100.0 / 33554432, 9) AS percent FROM ({EVENT_LOG}) GROUP BY seg",
     "q22_trie_rollup": f"SELECT slot0, slot1, slot2, count(*) AS items FROM (SELECT {', '.join(f'CAST({_le(0, 1)} // {8**i} % 8 AS BIGINT) AS slot{i}' for i in range(3))} FROM ({ORDER_HASH})) GROUP BY ROLLUP (slot0, slot1, slot2)",
     "q23_hit_level": "SELECT k // 1000 % 5 AS level, count(*) AS hits FROM (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) GROUP BY 1",
-    "q24_amplification": "SELECT level, written, kept, round(CAST(written AS DOUBLE) / kept, 9) AS write_amp, round(CAST(written AS DOUBLE) * 100.0 / nullif(missed, 0), 9) AS miss_ratio FROM (SELECT event_id // 1000 % 3 AS level, count(*) AS written, count(DISTINCT user_id) AS kept, sum(CASE WHEN value > 1e9 THEN 1 ELSE 0 END) AS missed FROM events GROUP BY 1)",
+    "q24_amplification": "SELECT level, written, kept, round(CAST(written AS DOUBLE) / kept, 9) AS write_amp, round(CAST(probes - hits AS DOUBLE) * 100.0 / nullif(probes, 0), 9) AS miss_ratio FROM (SELECT event_id // 1000 % 3 AS level, count(*) AS written, count(DISTINCT user_id) AS kept, count(DISTINCT CASE WHEN user_id IN (SELECT c_custkey FROM customer) THEN user_id END) AS hits FROM events GROUP BY 1), (SELECT count(*) AS probes FROM customer)",
     "q25_latency_histogram": "WITH h AS (SELECT CAST(floor(value) AS BIGINT) AS bucket, count(*) AS count FROM events WHERE floor(value) >= 0 AND floor(value) < 100000 GROUP BY 1) SELECT bucket, count FROM h WHERE count > (SELECT sum(count) FROM h) // 1024",
     "q26_latency_percentiles": "WITH h AS (SELECT CAST(floor(value) AS BIGINT) AS bucket, count(*) AS c FROM events WHERE floor(value) >= 0 AND floor(value) < 100000 GROUP BY 1), r AS (SELECT bucket, sum(c) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS cum, (SELECT sum(c) FROM h) AS n FROM h) SELECT " + ", ".join(f"min(CASE WHEN cum >= n * {p} // 1000 THEN bucket END) AS p{p}" for p in (950, 990, 999)) + ", max(bucket) AS max_bucket FROM r",
     "q27_qps_report": "SELECT batch, ops, delta_usec, round(ops * 1e6 / nullif(CAST(delta_usec AS DOUBLE), 0), 6) AS qps FROM (SELECT batch, ops, until - lag(until) OVER (ORDER BY batch) AS delta_usec FROM (SELECT event_id // 1000 AS batch, count(*) AS ops, max(epoch_us(ts)) AS until FROM events GROUP BY 1))",
@@ -604,14 +570,8 @@ SQL = {
     "q39_point_lookup": f"SELECT * FROM ({LATEST_EVENTS}) WHERE user_id = 7",
     "q40_generator_draws": f"SELECT event_id, CAST(1984 AS BIGINT) AS c, CAST(20 + floor(u * 1980) AS BIGINT) AS uni, CAST(floor(-ln(greatest(u, 1.1641532182693481e-10)) / 0.02995732273553991) AS BIGINT) AS expo FROM (SELECT event_id, {U_ID} AS u FROM events)",
     "q41_staged_read": _staged_sql(),
-    "q42_segment_bitmap_words": f"SELECT user_id, event_id // 1000 // {WORD_BITS} AS word, bit_or(CAST(1 AS BIGINT) << CAST(event_id // 1000 % {WORD_BITS} AS INTEGER)) AS bitmap FROM events GROUP BY 1, 2",
 }
 SQL["q08_oversize_rows"] = f"SELECT * FROM ({SQL['q07_row_volume']}) WHERE volume > {BLOCK_BYTES}"
-# The same over whole tables.
-for _all, _part, _cut in (("q43_multi_get_all", "q02_multi_get", " WHERE c_custkey % 3 = 0"), ("q44_multi_get_hits_all", "q03_multi_get_hits", " WHERE c_custkey % 3 = 0"), ("q45_multi_get_misses_all", "q04_multi_get_misses", " WHERE c_custkey % 3 = 0"), ("q46_bloom_positions_all", "q16_bloom_positions", " WHERE id % 10 = 0"), ("q47_fnv_scramble_all", "q28_fnv_scramble", " WHERE o_orderkey % 5 = 0")):
-    SQL[_all] = SQL[_part].replace(_cut, "")
-SQL["q48_compaction_output_all"] = SQL["q13_compaction_output"].replace(_LATEST_IN, LATEST_EVENTS)
-
 _USER = "sha1(CAST(user_id AS VARCHAR))"
 _LAST = "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id"
 SQL["q49_store_round_trip"] = _LAST

@@ -26,6 +26,7 @@ TASK_BYTES = 128 << 20  # of the scan, for a task: Spark's own default; smaller
 LONG_BYTES = 512  # words above this are merged by a heap, since a fold's time grows with the square of a word
 ROW_WORDS = 1 << 8
 ROW_PIECES = 1 << 7  # pieces of a text in one row on the way to the workers, which get rows by the ten thousand
+REST_PIECES = 1 << 21  # after so many, a worker gives freed memory back
 NONE = 1 << 16  # above every rank
 
 
@@ -237,7 +238,12 @@ class _Speller:
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
-    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+    """``a``, or a copy with room for ``n``; the system maps its new pages when they are written."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 class _Placer:
@@ -293,13 +299,14 @@ class _Texts:
             self.row, self.held = None, []
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", held: int = HELD_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", held: int = HELD_WORDS, row_pieces: int = ROW_PIECES) -> DataFrame:
     """``docs`` with ``ids`` (array of int) in place of the text column.
 
     Each match of ``pattern`` is encoded by itself and special tokens are ordinary text.  A task
     folds each of its distinct words once, or once more for every ``held`` others; scans in smaller
     splits are read in tasks of ``TASK_BYTES``, as long as every core has one.  Words of
-    more than ``LONG_BYTES`` bytes are merged by a heap, with the same ids.
+    more than ``LONG_BYTES`` bytes are merged by a heap, with the same ids.  Rows on the way to the
+    workers hold ``row_pieces`` matches each; fewer make smaller batches, in the JVM and in the workers.
 
     Null or empty texts have no ids.  Rows are independent: repeated ids or rows and other columns,
     which are kept (but for one named ids), make no difference, and an empty table gives an empty
@@ -313,7 +320,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", hel
     rest = [c for c in docs.columns if c not in (text_col, "ids")]
     plain = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)]
     split = docs.select(*plain, F.when(~odd, pieces(text, pattern)).otherwise(F.array().cast("array<string>")).alias("_pieces"), F.when(odd, text).alias("_odd"))
-    some = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_pieces") - 1, F.lit(0)), F.lit(ROW_PIECES)), lambda i: F.slice("_pieces", i + 1, ROW_PIECES))
+    some = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_pieces") - 1, F.lit(0)), F.lit(row_pieces)), lambda i: F.slice("_pieces", i + 1, row_pieces))
     rows = split.select(*[f"_c{i}" for i in range(len(rest))], "_odd", F.posexplode(some).alias("_at", "_part")).select(*[f"_c{i}" for i in range(len(rest))], "_at", "_part", "_odd")
     empty = "array<array<int>>"
     kept = docs.select(*plain)
@@ -324,17 +331,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", hel
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = None
-        for batch in batches:
+        for batch in W.rests(batches, lambda b: len(b.column(b.num_columns - 2).flatten()), REST_PIECES):
             if speller is None:
                 fields = [pa.field(f.name, f.type) for f in list(batch.schema)[:-2]]
                 more = [pa.field("_codes", pa.binary()), pa.field("_anew", pa.bool_()), pa.field("_parts", pa.list_(pa.list_(pa.int32())))]
                 speller = _Speller(ranks, pattern, pa.schema([*fields, *more]), held)
             for at, to in _cuts(np.asarray(batch.column(batch.num_columns - 2).offsets, dtype=np.int64), SLICE_PIECES):
                 yield from speller.batch(batch.slice(at, to - at))
+            del batch
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer, texts = _Placer(), _Texts([f.name for f in final])
-        for batch in batches:
+        for batch in W.rests(batches, lambda b: b.num_rows * row_pieces, REST_PIECES):
             codes, anew, folded = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
             is_words = np.asarray(folded.is_valid())
             edges = [0, *(np.flatnonzero(np.diff(is_words) | (np.asarray(anew.fill_null(False))[1:])) + 1).tolist(), batch.num_rows]
@@ -349,6 +357,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", hel
                 for at, to in _cuts(off, 4 * SLICE_PIECES):
                     part = run.slice(at, to - at)
                     yield from texts.add(part.columns[:-4], part.column(part.num_columns - 4).to_numpy(), placer.ids(part.column(part.num_columns - 3)))
+            run = part = None
+            del batch, codes, anew, folded
         yield from texts.end()
 
     table = PairTable(ranks)

@@ -47,6 +47,22 @@ def tidy(f: Callable) -> Callable:
     return run
 
 
+def rests(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], int], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches; memory is given back each time ``most`` of what ``size`` counts has passed.
+
+    Arrays that grow in steps leave holes, which the allocator keeps.  Who takes a batch should drop
+    it (``del``) before it asks for the next.
+    """
+    passed = 0
+    for batch in batches:
+        passed += size(batch)
+        yield batch
+        del batch
+        if passed >= most:
+            give_back()
+            passed = 0
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over all 64 output bits."""
     h = (h ^ (h >> np.uint64(30))) * _M1

@@ -2,14 +2,16 @@
 
 import os
 import sys
+import weakref
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 sys.path[:0] = [os.path.dirname(__file__)]
 import brute  # noqa: E402
 
-from keystrata.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup  # noqa: E402
+from keystrata.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, words  # noqa: E402
 from keystrata.session import checkpoint_dir  # noqa: E402
 
 P = " ".join(f"w{i}" for i in range(40))
@@ -105,6 +107,48 @@ def test_bpe_awkward_words(spark):
     assert bpe.encode(frame.limit(0), path, T.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("row_pieces", [1, 3, 32])
+def test_bpe_rows_of_any_size(docs, row_pieces):
+    import public_tokenizers as T
+
+    path = T.path(bpe.RANKS)
+    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, T.PATTERN, held=50, row_pieces=row_pieces), path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    assert rows(out, "doc_id", F.size("ids"), F.sha2(joined, 256), F.sha2("decoded", 256)) == brute.bpe(DOCS)
+
+
+def test_workers_rest(monkeypatch):
+    """A worker gives memory back in the middle of a task, when the batch before is dropped."""
+    seen, alive = [], []
+    monkeypatch.setattr(words, "give_back", lambda: seen.append((len(alive), alive[-1]() is None)))
+
+    class Batch:
+        pass
+
+    def made(_):
+        batch = Batch()
+        alive.append(weakref.ref(batch))
+        return batch
+
+    for batch in words.rests(map(made, range(7)), lambda b: 10, 30):
+        del batch
+    assert seen == [(3, True), (6, True)]
+
+
+def _resident_mb():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+
+def test_room_is_not_written_before_it_is_used():
+    """Room for more is pages that nobody has touched, so it costs no memory."""
+    a = np.ones(1 << 23, np.int32)
+    before = _resident_mb()
+    b = bpe._room(a, len(a) + 1)
+    assert len(b) == 2 * len(a) and (b[: len(a)] == 1).all() and not b[len(a) : len(a) + 9].any()
+    assert _resident_mb() - before < 48  # 32 MB of the copy; it was 64
+
+
 def test_mixing(docs):
     out = mixing.mix(docs).toPandas()
     per = out.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))

@@ -10,9 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keystrata.llm.words import tidy
 from keystrata.session import checkpoint_dir
@@ -150,23 +149,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sorted_.mapInArrow(tidy(_bitmaps), "doc_id long, tag long, n_dropped long, keep binary")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], text_at: int, keep_at: int) -> Iterator[pa.RecordBatch]:
-    """Adds n_lines and kept_text, and drops the text and keep columns."""
-    for batch in batches:
-        n, kept = [], []
-        for text, keep in zip(batch.column(text_at), batch.column(keep_at).to_pylist(), strict=True):
-            text = text.as_py()
-            if keep is None:
-                n.append((text or "").count("\n") + 1)
-                kept.append(text)
-                continue
-            lines = (text or "").split("\n")
-            n.append(len(lines))
-            bits = np.unpackbits(np.frombuffer(keep, np.uint8), bitorder="little")[: len(lines)].tolist()
-            bits += [1] * (len(lines) - len(bits))
-            kept.append("\n".join([x for x, k in zip(lines, bits, strict=True) if k]))
-        rest = [i for i in range(batch.num_columns) if i not in (text_at, keep_at)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(n, pa.int64()), pa.array(kept, pa.string())], [*(batch.schema.names[i] for i in rest), "n_lines", "kept_text"])
+def _kept(lines: Column, keep: Column) -> Column:
+    """The lines whose bit in ``keep``, or no bit, says that they stay; in the JVM, so that no batch holds texts."""
+    digits = F.split(F.hex(keep), "")  # bit p lies in digit (p >> 2) ^ 1, as a byte's high half comes first
+    stays = lambda d, i: F.bit_get(F.instr(F.lit("0123456789ABCDEF"), F.get(d, F.shiftright(i, 2).bitwiseXOR(1))) - 1, i.bitwiseAND(3))
+    some = F.transform(F.array(digits), lambda d: F.filter(lines, lambda _, i: F.coalesce(stays(d, i), F.lit(1)) == 1))  # digits are made once a row
+    return F.array_join(F.get(some, 0), "\n")
 
 
 def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -178,9 +166,9 @@ def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = [c for c in docs.columns if c not in (text_col, "n_dropped", "n_lines", "kept_text")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_tag"))
     both = rows.join(maps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_tag") == F.col("tag")), "left")
-    both = both.select("rest", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "text", "keep")
-    schema = T.StructType([*both.schema.fields[:2], T.StructField("n_lines", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return both.mapInArrow(tidy(lambda it: _cut(it, 2, 3)), schema).select("rest.*", "n_dropped", "n_lines", "kept_text")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    kept = F.when(F.col("keep").isNull(), F.col("text")).otherwise(_kept(lines, F.col("keep")))
+    return both.select("rest.*", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.size(lines).cast("long").alias("n_lines"), kept.alias("kept_text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keystrata.llm import words as W
 
@@ -190,16 +189,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Attention | None, text_col: str = "text") -> DataFrame:
-    """(row, score): every row as a struct of its columns; without a model every score is 1."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    """(row, score): every row as a struct of its columns; without a model every score is 1.
+
+    Workers get the texts alone and return the scores; rows wait in the JVM.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.slices(batch, "text", 1 << 20):
-                out = np.ones(part.num_rows) if model is None else model.score(Bags(*passages(W.split(part.column("text")))))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out)], ["row", "score"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = W.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 1 << 20)
+            out = [np.ones(part.num_rows) if model is None else model.score(Bags(*passages(W.split(part.column("text"))))) for part in parts]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+        W.give_back()
 
-    return rows.mapInArrow(W.tidy(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return rows.select("row", F.arrow_udf(run, "double")("text").alias("score"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:

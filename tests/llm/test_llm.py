@@ -182,6 +182,27 @@ def test_lines_awkward(spark):
     assert {"_id", "_tag", "_n", "_keep"} <= set(out.columns)
 
 
+def _to_python(df):
+    """Lines of the plan that hand rows to Python workers."""
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "InArrow" in x or "EvalPython" in x]
+
+
+def test_texts_stay_in_the_jvm(spark, docs):
+    """A batch of texts takes several times its size on both sides: lines sends none, and a score's batch holds each text once."""
+    assert not [x for x in _to_python(line_dedup.apply_line_dedup(docs)) if "text" in x]
+    plan = _to_python(quality_classifier.score(docs, None))
+    assert len(plan) == 1 and "ArrowEvalPython [run(text#" in plan[0]
+
+
+def test_lines_around_the_last_bit(spark):
+    """Drops at any place of a bitmap, lines behind its last byte, and empty lines at the end."""
+    own = [(d, "\n".join(f"own line {d} of this text {i}" for i in range(20))) for d in range(1, 22)]
+    table = [(0, "\n".join(f"common line {i} of all texts" for i in range(40)))]
+    table += [(d, "\n".join([f"common line {i} of all texts" if i % d == 0 or i == d else x for i, x in enumerate(t.split("\n"))] + [""] * (d % 3))) for d, t in own]
+    out = line_dedup.apply_line_dedup(spark.createDataFrame(table, "doc_id long, text string"))
+    assert rows(out, "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256)) == brute.lines(table)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """run() over a whole table, with clashing columns; the classifier's own verdicts say what the first stage keeps."""
     import corpus_pipeline

@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges as a fold of higher-order functions, and decoding.
 
-A task spells each word it meets for the first time as an array of byte ids, the JVM folds the
-ranked merges over it, and a second worker of the same task puts the folded ids in the places of
+A task spells each word it meets for the first time as an array of ids of bytes, and of pairs of
+bytes that are sure to merge; the JVM folds the ranked merges over it, and a second worker of the same task puts the folded ids in the places of
 the words.  All three follow each other in one task: nothing is shuffled, sampled or sent to the
 driver, and every word of every text goes through the fold.
 """
@@ -114,7 +114,7 @@ def merge_fold(parts: Column, rank) -> Column:
         left, new = F.get(s, q - 2), F.shiftright(m, 40).cast("int")
         before = high(rank(id_of(left), new)).bitwiseOR(left.bitwiseAND((1 << 40) - 1))
         here = high(rank(new, id_of(F.get(s, q + 1)))).bitwiseOR(m.bitwiseAND(((1 << 40) - 1) ^ 65535)).bitwiseOR(new.cast("bigint"))
-        return F.concat(F.slice(s, 1, q - 2), F.array(before, here), F.slice(s, q + 2, F.size(s)))
+        return F.flatten(F.array(F.slice(s, 1, q - 2), F.array(before, here), F.slice(s, q + 2, F.size(s))))  # concat() makes a lazy list each time
 
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda m: F.when(m >= NONE << 40, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda q: merged(s, m, q))))
@@ -162,6 +162,35 @@ def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in piece if x is not None]
 
 
+class SurePairs:
+    """Pairs of bytes that merge whatever stands around them, so that a fold may start behind these merges.
+
+    A pair ab between x and y is sure if its rank is below that of every token that ends in xa or
+    begins with by, so that none can take a or b away while ab is there to merge; and if no longer
+    token that begins or ends with ab has a lower rank, which would make it merge on too early.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.rank, self.left, self.right = (np.full((256, 256), NONE, np.int32) for _ in range(3))
+        for t, r in ranks.items():
+            if len(t) > 1:
+                self.right[t[0], t[1]] = min(self.right[t[0], t[1]], r)
+                self.left[t[-2], t[-1]] = min(self.left[t[-2], t[-1]], r)
+        for t, r in ranks.items():
+            if len(t) == 2 and r <= min(self.right[t[0], t[1]], self.left[t[0], t[1]]):
+                self.rank[t[0], t[1]] = r
+
+    def begin(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of words that begin at ``first`` and follow each other: whether a sure pair begins at a byte; none overlap."""
+        n = len(data)
+        edge = np.zeros(n + 2, bool)
+        edge[first] = edge[n:] = True
+        byte = np.pad(data, (1, 2))  # those outside a word don't count
+        x, a, b, y = byte[:n], byte[1 : n + 1], byte[2 : n + 2], byte[3 : n + 3]
+        r = self.rank[a, b]
+        return (r < NONE) & ~edge[1 : n + 1] & (edge[:n] | (r < self.left[x, a])) & (edge[2 : n + 2] | (r < self.right[b, y]))
+
+
 class _Numbers:
     """Numbers of words by two 64-bit hashes, in a sorted array: 20 bytes a word."""
 
@@ -196,7 +225,7 @@ class _Speller:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, schema: pa.Schema, held: int):
         self.byte_ids, self.ranks, self.pattern, self.schema, self.held = np.array([ranks[bytes([i])] for i in range(256)], np.int32), ranks, pattern, schema, held
-        self.numbers = _Numbers()
+        self.numbers, self.sure = _Numbers(), SurePairs(ranks)
 
     def spelt(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, anew: bool) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(starts), ROW_WORDS):
@@ -208,7 +237,12 @@ class _Speller:
             else:
                 size = e - s
                 first = np.cumsum(size) - size
-                flat = self.byte_ids[data[np.arange(int(size.sum())) + np.repeat(s - first, size)]]
+                text = data[np.arange(int(size.sum())) + np.repeat(s - first, size)]
+                begin = self.sure.begin(text, first)
+                at = np.flatnonzero(begin)
+                flat = self.byte_ids[text]
+                flat[at] = self.sure.rank[text[at], text[at + 1]]
+                flat, size = np.delete(flat, at + 1), size - np.add.reduceat(begin, first, dtype=np.int64)
             parts = _lists(np.concatenate([[0], np.cumsum(size)]), pa.array(flat))
             row = {"_codes": pa.nulls(1, pa.binary()), "_anew": pa.array([anew and k == 0]), "_parts": _lists(np.array([0, len(s)]), parts)}
             yield pa.RecordBatch.from_arrays([row[f.name] if f.name in row else pa.nulls(1, f.type) for f in self.schema], schema=self.schema)

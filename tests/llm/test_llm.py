@@ -117,6 +117,47 @@ def test_bpe_rows_of_any_size(docs, row_pieces):
     assert rows(out, "doc_id", F.size("ids"), F.sha2(joined, 256), F.sha2("decoded", 256)) == brute.bpe(DOCS)
 
 
+def _merged(pieces, ranks):
+    """Ids of a word that is cut into ``pieces``, by the definition."""
+    while True:
+        r, i = min(((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(pieces, pieces[1:]))), default=(1 << 30, 0))
+        if r == 1 << 30:
+            return [ranks[x] for x in pieces]
+        pieces = [*pieces[:i], pieces[i] + pieces[i + 1], *pieces[i + 2 :]]
+
+
+def test_bpe_begins_with_sure_pairs():
+    """Words go to the fold with the pairs merged that merge in any case; vocabularies of any order of ranks keep their ids."""
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers as T
+
+    rng = random.Random(3)
+    letters = b"abcd"
+    found = 0
+    for _ in range(60):
+        longer = list({bytes(rng.choices(letters, k=rng.choice([2, 2, 2, 3, 4]))) for _ in range(rng.randint(2, 14))})
+        rng.shuffle(longer)
+        ranks = {t: i for i, t in enumerate([bytes([i]) for i in range(256)] + longer)}
+        sure = bpe.SurePairs(ranks)
+        words_ = [bytes(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(50)]
+        size = np.array([len(w) for w in words_])
+        begin = sure.begin(np.frombuffer(b"".join(words_), np.uint8), np.cumsum(size) - size)
+        for w, b in zip(words_, np.split(begin, np.cumsum(size)[:-1])):
+            cut = [w[i : i + 2] if b[i] else w[i : i + 1] for i in range(len(w)) if not (i and b[i - 1])]
+            assert b"".join(cut) == w and _merged(cut, ranks) == _merged([w[i : i + 1] for i in range(len(w))], ranks)
+        found += int(begin.sum())
+    assert found > 100
+    ranks = bpe.load_ranks(T.path(bpe.RANKS))
+    speller = bpe._Speller(ranks, T.PATTERN, pa.schema([pa.field("_codes", pa.binary()), pa.field("_anew", pa.bool_()), pa.field("_parts", pa.list_(pa.list_(pa.int32())))]), 99)
+    byte_of = {i: t for t, i in ranks.items()}
+    for w in (b" the", b"x"):
+        (got,) = speller.spelt(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), False)
+        parts = got.column(2).to_pylist()[0][0]
+        assert b"".join(byte_of[i] for i in parts) == w and len(parts) < max(2, len(w))
+
+
 def test_workers_rest(monkeypatch):
     """A worker gives memory back in the middle of a task, when the batch before is dropped."""
     seen, alive = [], []

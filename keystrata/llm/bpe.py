@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,8 +86,7 @@ class PairTable:
 
     def bound(self, f) -> Column:
         """f(rank), where rank(a, b) looks a pair up; the literals stand in the plan once."""
-        shifts = F.from_json(F.lit(str(self.shift.tolist())), "array<int>")
-        entries = F.from_json(F.lit(str(np.where(self.table < 0, 65535 << 16, self.table).tolist())), "array<bigint>")
+        shifts, entries = _longs(self.shift), _longs(np.where(self.table < 0, 65535 << 16, self.table))
 
         def rank(shift: Column, table: Column, a: Column, b: Column) -> Column:
             """What differs from the left id leaves high bits; least() skips a place outside the table."""
@@ -95,6 +95,17 @@ class PairTable:
         return _let(shifts, lambda s: _let(entries, lambda t: f(lambda a, b: rank(s, t, a, b))))
 
 
+def _longs(values: np.ndarray) -> Column:
+    """A literal array<bigint>, packed: other literals of arrays or text write all their values into
+    every string of a plan, of which the driver makes several a run and keeps some."""
+    jvm, gateway = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway
+    held = gateway.new_array(jvm.long, len(values))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(values.astype(">i8").tobytes())).asLongBuffer().get(held)
+    catalyst = jvm.org.apache.spark.sql.catalyst.expressions
+    literal = catalyst.Literal(catalyst.UnsafeArrayData.fromPrimitiveArray(held), jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>"))
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
 def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 

@@ -107,6 +107,14 @@ def test_bpe_awkward_words(spark):
     assert bpe.encode(frame.limit(0), path, T.PATTERN).count() == 0
 
 
+def test_bpe_plan_is_short(docs):
+    """The driver writes plans as text and keeps some; the table of ranks must not be in them."""
+    import public_tokenizers as T
+
+    out = bpe.encode(docs.select("doc_id", "text"), T.path(bpe.RANKS), T.PATTERN)
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+
+
 @pytest.mark.parametrize("row_pieces", [1, 3, 32])
 def test_bpe_rows_of_any_size(docs, row_pieces):
     import public_tokenizers as T

@@ -13,13 +13,13 @@ def digest(key: Column) -> Column:
     return F.sha1(key)
 
 
-def _hex(h: Column, first: int, last: int) -> Column:
-    return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(last, first - 1, -1)]), 16, 10)
+def _hex_text(h: Column, first: int, last: int) -> Column:
+    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(last, first - 1, -1)])
 
 
 def word(h: Column, first: int, last: int) -> Column:
     """Little-endian number in bytes first..last of the digest (seven bytes at most)."""
-    return _hex(h, first, last).cast("bigint")
+    return F.conv(_hex_text(h, first, last), 16, 10).cast("bigint")
 
 
 def leaf_path(h: Column) -> Column:
@@ -54,8 +54,8 @@ def move_order(h: Column, barrel_id: Column) -> Column:
 
 
 def bloom_hash(h: Column) -> Column:
-    """Unsigned 64-bit word at bytes 12..19."""
-    return _hex(h, 12, 19).cast("decimal(20,0)")
+    """64-bit word at bytes 12..19, as a signed number of the same bits."""
+    return F.conv(_hex_text(h, 12, 19), 16, -10).cast("bigint")
 
 
 def varint_length(n: Column) -> Column:

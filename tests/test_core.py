@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.config import Config
-from keystrata.functions import generators, routing
+from keystrata.functions import bloom, generators, routing
 from keystrata.plans.queries import QUERIES, SQL
 from keystrata.sources.store import Store
 from keystrata.streaming import ingest
@@ -218,3 +218,31 @@ def test_distribution(spark):
 
     r = metrics.distribution(spark.range(1000).select((F.col("id") * 3).alias("v")), "v").where("pct = 50").first()
     assert (r.value, r["count"], r.least, r.largest) == (1500, 1000, 0, 2997)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def bit_positions(hv, bits):
+    turned = (hv >> 31 | hv << 33) % 2**64
+    return {(hv + j * turned) % 2**64 % bits for j in range(11)}
+
+
+def test_filters_grow_with_their_keys(spark):
+    """A large box, a small one and none at all; words aren't searched for, and no filter is joined to a probe's row."""
+    h = routing.digest(F.col("id").cast("string"))
+    keys = spark.range(0, 30_000, 1, 5).select("id", F.when(F.col("id") < 29_990, 0).when(F.col("id") < 29_999, 1).alias("barrel").cast("bigint"), routing.bloom_hash(h).alias("hv"))
+    filters = bloom.build(keys.select("barrel", "hv"))
+    got = {r.barrel: r for r in filters.collect()}
+    assert sorted(got) == [0, 1] and [len(got[b].words) for b in (0, 1)] == [-(-29_990 * 16 // 64), 3]
+    want = {0: set(), 1: set()}
+    hashes = [int.from_bytes(hashlib.sha1(str(i).encode()).digest()[12:20], "little") for i in range(30_000)]
+    for i in range(29_999):
+        want[int(i >= 29_990)] |= bit_positions(hashes[i], got[int(i >= 29_990)].bits)
+    for b in (0, 1):
+        assert {64 * w + p for w, x in enumerate(got[b].words) for p in range(64) if x >> p & 1} == want[b]
+    probes = spark.range(0, 30_000, 7).select("id", (F.col("id") % 4).alias("barrel"), routing.bloom_hash(h).alias("hv")).withColumn("barrel", F.when(F.col("barrel") < 3, F.col("barrel")))
+    out = bloom.probe(probes, filters)
+    assert {r.id: r.match for r in out.collect()} == {i: i % 4 < 2 and bit_positions(hashes[i], got[i % 4].bits) <= want[i % 4] for i in range(0, 30_000, 7)}
+    assert "Join" not in plan_of(out) and "element_at" not in plan_of(filters)

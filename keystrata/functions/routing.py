@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,8 +72,8 @@ def volume(key: Column, value: Column) -> Column:
 
 def little_endian(n: Column) -> Column:
     """Eight-byte little-endian key of a number."""
-    h = F.lpad(F.hex(n), 16, "0")
-    return F.unhex(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)]))
+    octets = [F.shiftleft(F.shiftrightunsigned(n.cast("bigint"), 8 * i).bitwiseAND(255), 56 - 8 * i) for i in range(8)]
+    return F.unhex(F.lpad(F.hex(_or(octets)), 16, "0"))
 
 
 def hex_text(n: Column) -> Column:
@@ -79,19 +81,39 @@ def hex_text(n: Column) -> Column:
     return F.lower(F.lpad(F.hex(n), 16, "0"))
 
 
+def _or(parts: list[Column]) -> Column:
+    return reduce(Column.bitwiseOR, parts)
+
+
 def varint(n: Column) -> Column:
-    """Bytes of a number from 0 on: seven bits each, the least first, the high bit set on all but the last."""
-    size = F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("int")
-    seven = lambda i: F.call_function("shiftrightunsigned", n.cast("bigint"), (i * 7).cast("int")).bitwiseAND(127)
-    octet = lambda i: F.lpad(F.hex(seven(i) + F.when(i < size - 1, 128).otherwise(0)), 2, "0")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), octet), ""))
+    """Bytes of a number from 0 on: seven bits each, the least first, the high bit set on all but the last.
+
+    The first eight octets are made in one word, without higher-order functions, whose lambdas aren't compiled.
+    """
+    n = n.cast("bigint")
+    seven = lambda i: F.shiftrightunsigned(n, 7 * i).bitwiseAND(127)
+    digits = lambda x, width: F.lpad(F.hex(x), width, "0")
+    word = _or([F.shiftleft(seven(i), 56 - 8 * i) for i in range(8)])
+    code = F.when(n < 0, F.concat(digits(word.bitwiseOR(_first(8)), 16), digits(F.shiftleft(seven(8).bitwiseOR(128), 8).bitwiseOR(seven(9)), 4)))
+    for size in range(1, 9):
+        code = code.when(n < 128**size, F.substring(digits(word.bitwiseOR(_first(size - 1)), 16), 1, 2 * size))
+    return F.unhex(code.otherwise(F.concat(digits(word.bitwiseOR(_first(8)), 16), digits(seven(8), 2))))
+
+
+def _first(octets: int) -> Column:
+    """The high bits of the first octets of a word, as a signed number."""
+    bits = sum(128 << (56 - 8 * i) for i in range(octets))
+    return F.lit(bits - 2**64 if bits >= 2**63 else bits).cast("bigint")
 
 
 def varint_value(code: Column) -> Column:
     """Number of a varint; null where it does not end within ten bytes."""
     h = F.hex(code)
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(h) / 2).cast("int") - 1))
-    octets = F.transform(at, lambda i: F.conv(F.substring(h, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
-    last = F.array_min(F.filter(at, lambda i: F.get(octets, i) < 128))
-    total = F.aggregate(F.sequence(F.lit(0), last), F.lit(0).cast("bigint"), lambda a, i: a + F.call_function("shiftleft", F.get(octets, i).bitwiseAND(127), (i * 7).cast("int")))
-    return F.when(last < 10, total)
+    number = lambda at, width: F.conv(F.rpad(F.substring(h, at, width), width, "F"), 16, -10).cast("bigint")
+    word, rest = number(1, 16), number(17, 4)
+    octets = [F.shiftrightunsigned(word, 56 - 8 * i) for i in range(8)] + [F.shiftrightunsigned(rest, 8), rest]
+    total = _or([F.shiftleft(x.bitwiseAND(127), 7 * i) for i, x in enumerate(octets)])
+    kept = F.lit(None).cast("bigint")
+    for i in range(9, -1, -1):
+        kept = F.when(octets[i].bitwiseAND(128) == 0, F.lit(2 ** (7 * i + 7) - 1 if i < 9 else -1).cast("bigint")).otherwise(kept)
+    return total.bitwiseAND(kept)

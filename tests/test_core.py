@@ -246,3 +246,23 @@ def test_filters_grow_with_their_keys(spark):
     out = bloom.probe(probes, filters)
     assert {r.id: r.match for r in out.collect()} == {i: i % 4 < 2 and bit_positions(hashes[i], got[i % 4].bits) <= want[i % 4] for i in range(0, 30_000, 7)}
     assert "Join" not in plan_of(out) and "element_at" not in plan_of(filters)
+
+
+def test_codecs_have_no_lambdas(spark):
+    """Every length of a code, numbers above 2**63 as negative ones, and what follows a code; expressions with lambdas aren't compiled."""
+    numbers = [None, *[x for i in range(1, 10) for x in (2 ** (7 * i) - 1, 2 ** (7 * i)) if x < 2**63], 2**63 - 1, -1, -(2**63)]
+    n = F.col("n")
+    df = spark.createDataFrame([(x,) for x in numbers], "n long").select("n", routing.varint(n).alias("v"), routing.little_endian(n).alias("le"))
+    df = df.withColumn("b", routing.varint_value(F.concat("v", F.unhex(F.lit("85")))))
+    for r in df.collect():
+        x, out = r.n, b""
+        if x is None:
+            assert (r.v, r.b, r.le) == (None, None, None)
+            continue
+        u = x % 2**64
+        while u > 127:
+            out, u = out + bytes([u & 127 | 128]), u >> 7
+        assert (bytes(r.v), r.b, bytes(r.le)) == (out + bytes([u]), x, x.to_bytes(8, "little", signed=True))
+    assert "lambda" not in plan_of(df)
+    none = spark.createDataFrame([(bytearray(b""),), (bytearray(b"\x80" * 10 + b"\x01"),)], "v binary")
+    assert [r[0] for r in none.select(routing.varint_value(F.col("v"))).collect()] == [None, None]

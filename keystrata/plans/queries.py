@@ -298,15 +298,23 @@ SELECT path || ' 2' || lpad(lower(hex(seg + 1)), 16, '0'), lpad(lower(hex(seg +
 def _moves(spark, d, cap: int = 64):
     """Rows of overloaded barrels in move order, with the volume that stands before each."""
     o = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", routing.digest(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("h"))
-    b = o.select("h", (routing.barrel(F.col("h")) % 512).alias("barrel"), routing.move_order(F.col("h"), routing.barrel(F.col("h"))).alias("mo"), F.lit(24).cast("bigint").alias("volume"))
+    b = o.select(F.unhex("h").alias("h"), (routing.barrel(F.col("h")) % 512).alias("barrel"), routing.move_order(F.col("h"), routing.barrel(F.col("h"))).alias("mo"), F.lit(24).cast("bigint").alias("volume"))
     w = Window.partitionBy("barrel").orderBy("mo", "h").rowsBetween(Window.unboundedPreceding, 0)
     return b.withColumn("upto", F.sum("volume").over(w)).withColumn("total", F.sum("volume").over(Window.partitionBy("barrel"))).withColumn("cap", F.lit(cap * 24))
 
 
+def _barrel_moves(spark, d):
+    """(barrel, items, nr_out, least_kept_above) of every barrel: its rows, and those that leave it, least in move order first.
+
+    One pass over the rows; what else is told of overflow comes of this table of at most 8,191 rows.
+    """
+    out = F.expr("total > cap AND upto - volume < total - cap")
+    return _moves(spark, d).groupBy("barrel").agg(F.count("*").alias("items"), F.count_if(out).alias("nr_out"), F.max(F.when(out, F.col("mo"))).alias("least_kept_above"))
+
+
 def overflow_moves(spark, d):
     """Per overloaded barrel: the rows that leave it, least in move order first."""
-    m = _moves(spark, d).where("total > cap AND upto - volume < total - cap")
-    return m.groupBy("barrel").agg(F.count("*").alias("nr_out"), F.max("mo").alias("least_kept_above"))
+    return _barrel_moves(spark, d).where("nr_out > 0").select("barrel", "nr_out", "least_kept_above")
 
 
 LINE_ROWS = f"""SELECT barrel, mo, 24 AS volume, h FROM (SELECT h, b % 512 AS barrel, CASE WHEN s = 0 THEN w ELSE ((w << s) & 4294967295) | (w >> (32 - s)) END AS mo FROM
@@ -317,17 +325,18 @@ MOVES = f"""SELECT barrel, count(*) AS nr_out, max(mo) AS least_kept_above FROM
   WHERE total > 1536 AND upto - volume < total - 1536 GROUP BY barrel"""
 
 
+def _indexed(spark, d):
+    """(barrel, items, nr_out, covered) of every barrel; the index covers those with most overflow first."""
+    order, every = Window.orderBy(F.desc("nr_out"), "barrel"), Window.partitionBy()  # at most 8,191 barrels
+    ranked = _barrel_moves(spark, d).select("barrel", "items", "nr_out", F.sum("nr_out").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.row_number().over(order).alias("rk"), F.sum("items").over(every).alias("lookups"), F.sum("nr_out").over(every).alias("all_out"))
+    todo = F.greatest(F.lit(0), F.expr(f"(lookups + all_out) * {COVER_PERCENT} div 100 - lookups"))
+    covered = (F.col("nr_out") > 0) & ((F.col("run") - F.col("nr_out") < todo) | (F.col("rk") == 1)) & (F.col("rk") <= INDEX_CAP)
+    return ranked.select("barrel", "items", "nr_out", covered.alias("covered"))
+
+
 def overflow_index(spark, d):
     """Barrels by overflow, most first, until they cover the share of lookups that must be covered."""
-    rows = _moves(spark, d).groupBy("barrel").agg(F.count("*").alias("items"))
-    out = overflow_moves(spark, d)
-    order = Window.orderBy(F.desc("nr_out"), "barrel").rowsBetween(Window.unboundedPreceding, 0)
-    lookups = rows.agg(F.sum("items").alias("lookups"))
-    all_out = out.agg(F.sum("nr_out").alias("all_out"))
-    ranked = out.select("barrel", "nr_out", F.sum("nr_out").over(order).alias("run"), F.row_number().over(Window.orderBy(F.desc("nr_out"), "barrel")).alias("rk"))  # at most 8,191 barrels
-    joined = ranked.crossJoin(F.broadcast(lookups)).crossJoin(F.broadcast(all_out))  # one row each
-    todo = F.greatest(F.lit(0), F.expr(f"(lookups + all_out) * {COVER_PERCENT} div 100 - lookups"))
-    return joined.where(((F.col("run") - F.col("nr_out") < todo) | (F.col("rk") == 1)) & (F.col("rk") <= INDEX_CAP)).select("barrel", "nr_out")
+    return _indexed(spark, d).where("covered").select("barrel", "nr_out")
 
 
 INDEX = f"""SELECT barrel, nr_out FROM (SELECT barrel, nr_out, sum(nr_out) OVER (ORDER BY nr_out DESC, barrel ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (ORDER BY nr_out DESC, barrel) AS rk FROM ({MOVES})) m,
@@ -427,29 +436,25 @@ def engine_report(spark, d):
 
 def lookup_cost(spark, d):
     """Lookups of a barrel: one a row, and one more for each row that moved away."""
-    items = _moves(spark, d).groupBy("barrel").agg(F.count("*").alias("items"))
-    return items.join(overflow_moves(spark, d).select("barrel", "nr_out"), "barrel", "left").select("barrel", (F.col("items") + F.coalesce("nr_out", F.lit(0))).alias("lookups"))
+    return _barrel_moves(spark, d).select("barrel", (F.col("items") + F.col("nr_out")).alias("lookups"))
 
 
 def uncovered_overflow(spark, d):
     """Moved rows that the index must cover so that the share of direct lookups is reached."""
-    moved = overflow_moves(spark, d).agg(F.coalesce(F.sum("nr_out"), F.lit(0)).alias("moved"))
-    n = lookup_cost(spark, d).agg(F.sum("lookups").alias("lookups")).crossJoin(F.broadcast(moved))  # one row each
+    n = _barrel_moves(spark, d).agg(F.sum(F.col("items") + F.col("nr_out")).alias("lookups"), F.coalesce(F.sum("nr_out"), F.lit(0)).alias("moved"))
     return n.select("lookups", "moved", F.greatest(F.lit(0), F.expr(f"lookups * {COVER_PERCENT} div 100 - (lookups - moved)")).alias("todo"))
 
 
 def verbose_report(spark, d):
     """Moved rows that the index covers and those it does not, and mean reads of a lookup."""
-    covered = overflow_index(spark, d).agg(F.coalesce(F.sum("nr_out"), F.lit(0)).alias("covered"))
-    items = _moves(spark, d).agg(F.count("*").alias("items"))
-    n = uncovered_overflow(spark, d).crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(items))  # one row each
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    covered = F.when(F.col("covered"), F.col("nr_out"))
+    n = _indexed(spark, d).agg(total("items").alias("items"), F.sum(F.col("items") + F.col("nr_out")).alias("lookups"), total(covered).alias("covered"), total("nr_out").alias("moved"))
     return n.select("items", "lookups", "covered", (F.col("moved") - F.col("covered")).alias("lost"), metrics.ratio(F.col("lookups") - F.col("covered"), F.col("items")).alias("avg_read"))
 
 
 def moved_histogram(spark, d):
-    items = _moves(spark, d).select("barrel").distinct()
-    each = items.join(overflow_moves(spark, d), "barrel", "left").select(F.coalesce("nr_out", F.lit(0)).alias("nr_out"))
-    return each.groupBy("nr_out").agg(F.count("*").alias("barrels"))
+    return _barrel_moves(spark, d).groupBy("nr_out").agg(F.count("*").alias("barrels"))
 
 
 def barrels_by_volume(spark, d):
@@ -465,8 +470,7 @@ def index_by_id(spark, d):
 
 def index_search(spark, d):
     """Every barrel looked up in the overflow index."""
-    found = lookup_cost(spark, d).join(overflow_index(spark, d), "barrel", "left")
-    return found.select("barrel", F.col("nr_out").isNotNull().alias("found"), "nr_out")
+    return _indexed(spark, d).select("barrel", F.col("covered").alias("found"), F.when(F.col("covered"), F.col("nr_out")).alias("nr_out"))
 
 
 def free_units(spark, d):

@@ -266,3 +266,8 @@ def test_codecs_have_no_lambdas(spark):
     assert "lambda" not in plan_of(df)
     none = spark.createDataFrame([(bytearray(b""),), (bytearray(b"\x80" * 10 + b"\x01"),)], "v binary")
     assert [r[0] for r in none.select(routing.varint_value(F.col("v"))).collect()] == [None, None]
+
+
+def test_overflow_reports_pass_the_rows_once(spark):
+    for q in ("q35_overflow_index", "q53_lookup_cost", "q54_uncovered_overflow", "q55_verbose_report", "q56_moved_histogram", "q58_index_by_id", "q59_index_search"):
+        assert plan_of(QUERIES[q](spark, SF)).count("parquet") == 1, q

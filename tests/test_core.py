@@ -271,3 +271,8 @@ def test_codecs_have_no_lambdas(spark):
 def test_overflow_reports_pass_the_rows_once(spark):
     for q in ("q35_overflow_index", "q53_lookup_cost", "q54_uncovered_overflow", "q55_verbose_report", "q56_moved_histogram", "q58_index_by_id", "q59_index_search"):
         assert plan_of(QUERIES[q](spark, SF)).count("parquet") == 1, q
+
+
+def test_probes_do_not_carry_filters(spark):
+    """A filter that is joined to its probes is copied once a probe."""
+    assert "Join" not in plan_of(QUERIES["q18_bloom_probe"](spark, SF))

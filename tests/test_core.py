@@ -276,3 +276,4 @@ def test_overflow_reports_pass_the_rows_once(spark):
 def test_probes_do_not_carry_filters(spark):
     """A filter that is joined to its probes is copied once a probe."""
     assert "Join" not in plan_of(QUERIES["q18_bloom_probe"](spark, SF))
+    assert "Join" not in plan_of(QUERIES["q52_engine_report"](spark, SF))

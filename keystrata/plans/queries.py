@@ -498,8 +498,8 @@ def container_probe(spark, d):
     h = routing.digest(_key("user_id"))
     e = _read(spark, d, "events").select(F.pmod(_seg("event_id"), F.lit(LEVEL_COUNT)).alias("segment"), "user_id").distinct()
     keys = e.select("segment", (routing.barrel(h) % 64).alias("barrel"), routing.bloom_hash(h).alias("hv"))
-    filters = bloom.build(keys, ["segment", "barrel"])
-    boxes = bloom.merge_container(bloom.container(filters.where("segment < 32")), filters.where("segment >= 32"))
+    older, newer = [bloom.build(keys.where(f"segment {half} 32"), ["segment", "barrel"]) for half in ("<", ">=")]
+    boxes = bloom.merge_container(bloom.container(older), newer)
     probes = _probes(spark, d).select(F.col("user_id").alias("id"), (routing.barrel(h) % 64).alias("barrel"), routing.bloom_hash(h).alias("hv"))
     hits = bloom.match_segments(probes, boxes).select("id", F.explode("segments").alias("segment"))
     true = e.withColumnRenamed("user_id", "id").withColumn("held", F.lit(1))

@@ -277,3 +277,22 @@ def test_probes_do_not_carry_filters(spark):
     """A filter that is joined to its probes is copied once a probe."""
     assert "Join" not in plan_of(QUERIES["q18_bloom_probe"](spark, SF))
     assert "Join" not in plan_of(QUERIES["q52_engine_report"](spark, SF))
+
+
+def test_container_matches_each_segment(spark):
+    """Segments newest first, none for a barrel without filters; the boxes of a barrel are not joined to its probes."""
+    hv = (F.col("id") * 7919 + 2**62).alias("hv")
+    keys = spark.range(0, 400).select((F.col("id") % 4).alias("segment"), (F.col("id") % 3).alias("barrel"), hv)
+    filters = bloom.build(keys, ["segment", "barrel"])
+    boxes = bloom.merge_container(bloom.container(filters.where("segment < 2")), filters.where("segment >= 2"))
+    probes = spark.range(0, 800).select("id", F.when(F.col("id") % 5 < 4, F.col("id") % 5).alias("barrel"), hv)
+    bits, held = {}, {}
+    for i in range(400):
+        held.setdefault((i % 4, i % 3), []).append(i * 7919 + 2**62)
+    for box, hashes in held.items():
+        n = max(8, 2 * len(hashes)) * 8 - 3
+        bits[box] = n, set().union(*[bit_positions(x, n) for x in hashes])
+    out = bloom.match_segments(probes, boxes)
+    want = {i: [s for s in (3, 2, 1, 0) if i % 5 < 3 and bit_positions(i * 7919 + 2**62, bits[s, i % 5][0]) <= bits[s, i % 5][1]] for i in range(800)}
+    assert {r.id: r.segments for r in out.collect()} == want and any(len(x) > 0 for x in want.values())
+    assert "LeftOuter" not in plan_of(out)
